@@ -77,7 +77,7 @@ def rate_limit(
         "window_start bigint, used_before bigint",
     ).select(F.col("key").alias(key), F.col("sec").alias("_sec"), "window_start", "used_before")
     rank = F.row_number().over(Window.partitionBy(key, "_sec").orderBy(us, seq))
-    placed = match_on(timed.withColumn("_rank", rank), windows, [key, "_sec"], "inner")
+    placed = match_on(timed.withColumn("_rank", rank), windows, [key, "_sec"], "inner", null_safe=True)
     allowed = F.col("used_before") + F.col("_rank") <= max_requests
     wait = F.greatest(F.lit(0), F.lit(window_s) - (F.col("_sec") - F.col("window_start")))
     return placed.select(

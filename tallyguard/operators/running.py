@@ -72,20 +72,20 @@ def running_sums(
 
 
 def neighbour_times(
-    df: DataFrame, keys: list[str], us: str = "us", seq: str = "seq", may_be_dense: bool = True
+    df: DataFrame, keys: list[str], us: str = "us", seq: str = "seq", rows: int | None = None
 ) -> DataFrame:
     """Add ``prev_us`` / ``next_us``: times of the neighbouring rows of the same key."""
-    sparse, dense = split_dense(df, keys, us) if may_be_dense else (df, None)
+    sparse, dense = split_dense(df, keys, us, rows=rows)
     spec = Window.partitionBy(*keys).orderBy(us, seq)
     out = sparse.select(
         "*", F.lag(us).over(spec).alias("prev_us"), F.lead(us).over(spec).alias("next_us")
     )
     if dense is None:
         return out
-    rows = dense.withColumn("_chunk", chunk_id(us))
+    cut = dense.withColumn("_chunk", chunk_id(us))
     part = keys + ["_chunk"]
     spec = Window.partitionBy(*part).orderBy(us, seq)
-    inside = rows.select(
+    inside = cut.select(
         *df.columns,
         "_chunk",
         F.lag(us).over(spec).alias("_p"),
@@ -93,7 +93,7 @@ def neighbour_times(
     )
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     edges = (
-        rows.groupBy(*part)
+        cut.groupBy(*part)
         .agg(F.min(us).alias("_first"), F.max(us).alias("_last"))
         .select(
             *part,
@@ -116,13 +116,14 @@ def prior_moments(
     us: str = "us",
     seq: str = "seq",
     through: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``prior_n``, ``prior_mean``, ``prior_m2`` of ``value`` over a key's history.
 
     ``m2`` is the sum of squared deviations. ``through`` includes the row itself.
     """
     frame = "through" if through else "before"
-    sparse, dense = split_dense(df, keys, us, value)
+    sparse, dense = split_dense(df, keys, us, value, rows=rows)
     spec = _frame(keys, [us, seq], frame)
     out = sparse.select(
         "*",
@@ -166,10 +167,15 @@ def centred_m2(n: str, s: str, q: str) -> Column:
 
 
 def prior_count(
-    df: DataFrame, keys: list[str], name: str, us: str = "us", seq: str = "seq"
+    df: DataFrame,
+    keys: list[str],
+    name: str,
+    us: str = "us",
+    seq: str = "seq",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add the number of earlier rows of the key, in (us, seq) order."""
-    sparse, dense = split_dense(df, keys, us)
+    sparse, dense = split_dense(df, keys, us, rows=rows)
     spec = Window.partitionBy(*keys).orderBy(us, seq)
     out = sparse.withColumn(name, F.row_number().over(spec).cast("bigint") - 1)
     if dense is None:
@@ -186,10 +192,15 @@ def prior_count(
 
 
 def first_seen(
-    df: DataFrame, keys: list[str], name: str, us: str = "us", seq: str = "seq"
+    df: DataFrame,
+    keys: list[str],
+    name: str,
+    us: str = "us",
+    seq: str = "seq",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add 1 for the first row of each key in (us, seq) order, else 0."""
-    sparse, dense = split_dense(df, keys, us)
+    sparse, dense = split_dense(df, keys, us, rows=rows)
     spec = Window.partitionBy(*keys).orderBy(us, seq)
     out = sparse.withColumn(name, (F.row_number().over(spec) == 1).cast("int"))
     if dense is None:

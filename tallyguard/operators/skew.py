@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyguard.session import settle
+
 ROWS_PER_CHUNK = "tallyguard.rowsPerChunk"
 SLIDING_ROWS = "tallyguard.slidingRows"
 _DEFAULTS = {ROWS_PER_CHUNK: 1_000_000, SLIDING_ROWS: 20_000}
@@ -28,14 +30,21 @@ def budget(spark: SparkSession, name: str) -> int:
     return int(spark.conf.get(name, str(_DEFAULTS[name])))
 
 
-def match_on(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Null-safe equi-join that keeps the left key columns only."""
+def match_on(
+    left: DataFrame, right: DataFrame, keys: list[str], how: str, null_safe: bool = False
+) -> DataFrame:
+    """Equi-join that keeps the left key columns only.
+
+    Plain equality lets the join reuse a partitioning by the same keys; use
+    ``null_safe`` where a key may be missing and its rows must still match.
+    """
     renamed = right.select(
         *[F.col(k).alias(f"_m_{k}") for k in keys],
         *[c for c in right.columns if c not in keys],
     )
+    pairs = [(F.col(k), F.col(f"_m_{k}")) for k in keys]
     same = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_m_{k}")) for k in keys]
+        lambda a, b: a & b, [a.eqNullSafe(b) if null_safe else a == b for a, b in pairs]
     )
     return left.join(renamed, same, how).drop(*[f"_m_{k}" for k in keys])
 
@@ -46,40 +55,49 @@ def split_dense(
     us: str = "us",
     value: str | None = None,
     limit: str = ROWS_PER_CHUNK,
+    rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of sparse keys, rows of dense keys with chunk marks or None).
 
     Dense means more rows than ``limit``. The second part carries ``_lo`` and
     ``_width`` (for :func:`chunk_id`) and ``_shift``, the key's mean of
-    ``value``, which keeps running sums of squares well conditioned.
+    ``value``, which keeps running sums of squares well conditioned. Rows with a
+    missing key count as sparse. ``rows`` is the row count where the caller knows
+    it. Small inputs and inputs without dense keys keep their plan; otherwise the
+    input is written once, because several branches read it.
     """
     spark = df.sparkSession
     allowed = budget(spark, limit)
-    if df.count() <= allowed:
+    if (df.count() if rows is None else rows) <= allowed:
         return df, None
     per_chunk = max(1, budget(spark, ROWS_PER_CHUNK) // _OVERSPLIT)
     shift = F.avg(value) if value else F.lit(0.0)
-    marks = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(us).alias("_lo"),
-            F.max(us).alias("_hi"),
-            F.coalesce(shift, F.lit(0.0)).alias("_shift"),
-        )
-        .where(F.col("_n") > allowed)
-        .select(
-            *keys,
-            "_lo",
-            "_shift",
-            F.expr(
-                "greatest(1L, (_hi - _lo) div "
-                f"cast(ceil(_n / {per_chunk}D) as bigint) + 1L)"
-            ).alias("_width"),
+
+    def dense_keys(source: DataFrame) -> DataFrame:
+        return (
+            source.groupBy(*keys)
+            .agg(
+                F.count(F.lit(1)).alias("_n"),
+                F.min(us).alias("_lo"),
+                F.max(us).alias("_hi"),
+                F.coalesce(shift, F.lit(0.0)).alias("_shift"),
+            )
+            .where(F.col("_n") > allowed)
+            .select(
+                *keys,
+                "_lo",
+                "_shift",
+                F.expr(
+                    "greatest(1L, (_hi - _lo) div "
+                    f"cast(ceil(_n / {per_chunk}D) as bigint) + 1L)"
+                ).alias("_width"),
+            )
         )
-    )
-    if marks.isEmpty():
+
+    if dense_keys(df).isEmpty():
         return df, None
+    df = settle(df, "dense-input")
+    marks = settle(dense_keys(df), "dense-keys")
     return match_on(df, marks, keys, "left_anti"), match_on(df, marks, keys, "inner")
 
 

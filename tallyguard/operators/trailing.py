@@ -141,11 +141,12 @@ def trailing_windows(
     ties: str = "strict",
     us: str = "us",
     seq: str = "seq",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add trailing row counts and, per entry of ``moments``, ``_n``/``_mean``/``_m2``."""
     moments = moments or {}
     limit = SLIDING_ROWS if moments else ROWS_PER_CHUNK
-    sparse, dense = split_dense(df, keys, us, value, limit)
+    sparse, dense = split_dense(df, keys, us, value, limit, rows)
     out = _sparse_windows(sparse, keys, counts, value, moments, us)
     if dense is not None:
         out = out.unionByName(
@@ -165,6 +166,7 @@ def trailing_distinct(
     through: bool = False,
     us: str = "us",
     seq: str = "seq",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add distinct counts of ``item`` per key and trailing window.
 
@@ -173,11 +175,12 @@ def trailing_distinct(
     where it closes. No array of items is ever built. ``through`` counts the
     row's own item too.
     """
-    sparse, dense = split_dense(df, keys, us)
+    sparse, dense = split_dense(df, keys, us, rows=rows)
     names = list(windows)
 
-    def sweep(rows: DataFrame, chunked: bool) -> DataFrame:
-        linked = neighbour_times(rows, keys + [item], us, seq, may_be_dense=chunked)
+    def sweep(part: DataFrame, chunked: bool) -> DataFrame:
+        # A pair of key and item is dense only where the key is.
+        linked = neighbour_times(part, keys + [item], us, seq, None if chunked else 0)
         moves = [F.struct(F.lit(0).alias("kind"), F.col(us).alias("at"))]
         for i, n in enumerate(names, 1):
             ends = F.col("next_us").isNull() | (F.col("next_us") - F.col(us) > windows[n])

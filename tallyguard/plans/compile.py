@@ -70,16 +70,19 @@ def device_zscore(df: DataFrame, clip: float = 10.0) -> DataFrame:
     ).drop("_d24_n", "_d24_mean", "_d24_m2")
 
 
-def sender_features(df: DataFrame, keys: list[str]) -> DataFrame:
+def sender_features(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Velocity counts, z-score and first-seen flag; one shuffle on the sender."""
-    timed = trailing_windows(df, keys, DEVICE_COUNTS, "amount", {"_d24": DAY})
-    return first_seen(device_zscore(timed), keys, "is_new_device")
+    timed = trailing_windows(df, keys, DEVICE_COUNTS, "amount", {"_d24": DAY}, rows=rows)
+    return first_seen(device_zscore(timed), keys, "is_new_device", rows=rows)
 
 
-def receiver_features(df: DataFrame, keys: list[str], sender: str) -> DataFrame:
+def receiver_features(
+    df: DataFrame, keys: list[str], sender: str, rows: int | None = None
+) -> DataFrame:
     """Receiver counts, distinct senders (earlier tied rows included) and first-seen flag."""
-    distinct = trailing_distinct(df, keys, sender, RECEIVER_SENDERS)
-    return first_seen(trailing_windows(distinct, keys, RECEIVER_COUNTS), keys, "is_new_receiver")
+    distinct = trailing_distinct(df, keys, sender, RECEIVER_SENDERS, rows=rows)
+    counted = trailing_windows(distinct, keys, RECEIVER_COUNTS, rows=rows)
+    return first_seen(counted, keys, "is_new_receiver", rows=rows)
 
 
 def behavioural(
@@ -89,8 +92,9 @@ def behavioural(
     receiver: str = "receiver_hash",
 ) -> DataFrame:
     """Calendar and window features; ``scope`` columns restart every window."""
-    dated = calendar_features(df)
-    return receiver_features(sender_features(dated, scope + [sender]), scope + [receiver], sender)
+    rows = df.count()
+    by_sender = sender_features(calendar_features(df), scope + [sender], rows)
+    return receiver_features(by_sender, scope + [receiver], sender, rows)
 
 
 def global_zscore(df: DataFrame, amounts: DataFrame) -> DataFrame:

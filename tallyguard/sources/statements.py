@@ -60,7 +60,7 @@ def same_day_history(raw: DataFrame) -> DataFrame:
     rows = raw.withColumn("_day", day)
     per_day = rows.groupBy("account_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
     six = F.greatest(F.lit(1), F.expr("_n div 4"))
-    return match_on(rows, per_day, ["account_id", "_day"], "inner").select(
+    return match_on(rows, per_day, ["account_id", "_day"], "inner", null_safe=True).select(
         *raw.columns,
         F.col("_n").cast("bigint").alias("device_txn_count_24h"),
         six.cast("bigint").alias("device_txn_count_6h"),

@@ -55,7 +55,7 @@ def compare(mine: list[tuple], other: list[tuple], my_cols, other_cols) -> str:
 def main() -> None:
     sf, parts = sys.argv[1], sys.argv[2:]
     spark = build_session(
-        "check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
+        "check", "local[8]", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="8g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     for item in [p for p in parts if "=" in p]:
