@@ -99,7 +99,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
         "amount",
         "transaction_type",
         "fraud_flag",
-        F.least(F.lit(1.0), F.round(F.col("amount") / 100.0, 2)).alias("p"),
+        F.least(F.lit(1.0), F.col("amount") / 128.0).alias("p"),
         (F.col("seq") % 101 / 100.0).alias("a"),
         (F.col("seq") % 7 == 0).alias("topo"),
         (F.col("seq") % 11 / 10.0).alias("delta"),
@@ -111,6 +111,11 @@ def r6(column) -> F.Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
 
 
+def r9(column) -> F.Column:
+    """Rounded to nine digits: for ratios of two-digit amounts that tie at the seventh."""
+    return F.round(F.col(column) if isinstance(column, str) else column, 9) + F.lit(0.0)
+
+
 TX = """tx AS (
 SELECT cast(event_id AS VARCHAR) AS transaction_id, ts, event_id AS seq,
        'D' || user_id AS sender_id, 'M' || json_extract_string(props, '$.k') AS receiver_id,
@@ -136,5 +141,5 @@ SELECT 'N' || user_id AS src, 'N' || json_extract_string(props, '$.k') AS dst, v
 
 SCORED = TX + """, scored AS (
 SELECT transaction_id, seq, us, ts, sender_id, receiver_id, amount, transaction_type, fraud_flag,
-       least(1.0::DOUBLE, round(amount / 100.0::DOUBLE, 2)) AS p, (seq % 101) / 100.0::DOUBLE AS a,
+       least(1.0::DOUBLE, amount / 128.0::DOUBLE) AS p, (seq % 101) / 100.0::DOUBLE AS a,
        seq % 7 = 0 AS topo, (seq % 11) / 10.0::DOUBLE AS delta FROM tx)"""

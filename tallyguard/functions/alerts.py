@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.functions.rounding import fixed_text
+
 # --- fixed values: voices per language ---------------------------------------
 LANGUAGES = [
     ("en", "English", "en-IN-NeerjaNeural"),
@@ -53,7 +55,7 @@ def incidents(scored: DataFrame) -> DataFrame:
         F.array(
             F.lit("Captured from live transaction feed"),
             F.concat(F.lit("Category="), F.col("merchant_category")),
-            F.format_string("Risk=%.2f", F.col("risk_score")),
+            F.concat(F.lit("Risk="), fixed_text(F.col("risk_score"), 2, "up")),
         ),
     )
 
@@ -78,11 +80,8 @@ def evidence_record(df: DataFrame) -> DataFrame:
         F.coalesce(reason[2], F.lit("Device novelty and topology checks triggered")),
         F.concat(F.lit("Graph Reason: "), F.coalesce(F.col("graph_reason"), F.lit("n/a"))),
         F.format_string(
-            "ML + topology fused score: %.2f (supervised %.2f, anomaly %.2f, graph delta +%.2f)",
-            risk,
-            p,
-            a,
-            d,
+            "ML + topology fused score: %s (supervised %s, anomaly %s, graph delta +%s)",
+            *[fixed_text(x, 2, "up") for x in (risk, p, a, d)],
         ),
         F.concat(
             F.lit('Merchant category "'),

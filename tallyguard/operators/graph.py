@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.functions.rounding import fixed_text, round_exact
+
 # --- fixed values: detector thresholds and base contributions ---------------
 WINDOW_EDGES = 5000
 FAN_OUT_MIN = 3
@@ -53,21 +55,21 @@ def _event(label: str, severity: Column, fmt: str, *parts: Column) -> list[Colum
         F.col("node"),
         scaled(BASE_DELTA[label], severity).alias("delta"),
         F.lit(label).alias("label"),
-        F.format_string(fmt, *parts, severity).alias("evidence"),
+        F.format_string(fmt, *parts, fixed_text(severity)).alias("evidence"),
     ]
 
 
 def fan_out(degree: DataFrame, minimum: int = FAN_OUT_MIN) -> DataFrame:
     severity = clamp01((F.col("out_deg") - minimum + 1) / F.lit(max(1, minimum)))
     return degree.where(F.col("out_deg") >= minimum).select(
-        *_event("fan_out", severity, "fan_out(n=%d,sev=%.2f)", F.col("out_deg"))
+        *_event("fan_out", severity, "fan_out(n=%d,sev=%s)", F.col("out_deg"))
     )
 
 
 def fan_in(degree: DataFrame, minimum: int = FAN_IN_MIN) -> DataFrame:
     severity = clamp01((F.col("in_deg") - minimum + 1) / F.lit(max(1, minimum)))
     return degree.where(F.col("in_deg") >= minimum).select(
-        *_event("fan_in", severity, "fan_in(n=%d,sev=%.2f)", F.col("in_deg"))
+        *_event("fan_in", severity, "fan_in(n=%d,sev=%s)", F.col("in_deg"))
     )
 
 
@@ -76,7 +78,7 @@ def scatter(degree: DataFrame, ratio: float = SCATTER_RATIO) -> DataFrame:
     severity = clamp01((spread / F.lit(max(ratio, 0.1)) - 1.0) / 2.0)
     return degree.where((F.col("in_deg") >= 1) & (F.col("out_deg") > ratio * F.col("in_deg"))).select(
         *_event(
-            "scatter", severity, "scatter(out=%d,in=%d,sev=%.2f)", F.col("out_deg"), F.col("in_deg")
+            "scatter", severity, "scatter(out=%d,in=%d,sev=%s)", F.col("out_deg"), F.col("in_deg")
         )
     )
 
@@ -124,7 +126,7 @@ def cycle_events(cycles: DataFrame, max_length: int = CYCLE_MAX) -> DataFrame:
     short = clamp01((F.lit(max_length) - F.col("min_len") + 1) / F.lit(max(1, max_length)))
     severity = 0.5 * short + 0.5 * clamp01(F.col("k") / 3.0)
     return per_node.select(
-        *_event("cycle", severity, "cycle(k=%d,min_len=%d,sev=%.2f)", F.col("k"), F.col("min_len"))
+        *_event("cycle", severity, "cycle(k=%d,min_len=%d,sev=%s)", F.col("k"), F.col("min_len"))
     )
 
 
@@ -150,7 +152,7 @@ def node_risk(events: DataFrame) -> DataFrame:
         .where("_delta > 0")
         .select(
             "vpa_hash",
-            F.round(F.least(F.col("_delta"), F.lit(1.0)), 4).alias("risk_delta"),
+            round_exact(F.least(F.col("_delta"), F.lit(1.0)), 4).alias("risk_delta"),
             "reason",
         )
     )
