@@ -9,13 +9,20 @@ from tallyguard.operators.skew import match_on
 from tallyguard.schema import CATEGORICALS, CORRIDOR_RATE, OPTIONALS
 
 # Largest lookup side that may be broadcast, in rows.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 _PREFIX = 4
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Hint a broadcast after checking the size; larger sides keep a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Fix a lookup side that is small and hint its broadcast; leave larger ones alone.
+
+    At most ``BROADCAST_ROWS`` + 1 rows are fetched. A side that fits becomes a
+    local table, so its plan is not run again; a larger one keeps a shuffle join.
+    """
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def amount_stats(train: DataFrame, amount: str = "amount") -> DataFrame:
@@ -67,12 +74,13 @@ def ordinal_encode(
 ) -> DataFrame:
     """Add ``enc_<column>`` per column; categories not in the map get -1."""
     keep = df.columns
+    maps = small_side(maps.where(F.col("column").isin(columns)))
     for c in columns:
         side = maps.where(F.col("column") == c).select(
             F.col("category").alias("_category"), F.col("code").alias("_code")
         )
         df = (
-            df.join(small_side(side), as_text(c) == F.col("_category"), "left")
+            df.join(side, as_text(c) == F.col("_category"), "left")
             .withColumn(f"enc_{c}", F.coalesce(F.col("_code").cast("double"), F.lit(-1.0)))
             .drop("_category", "_code")
         )

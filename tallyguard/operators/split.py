@@ -10,13 +10,18 @@ from tallyguard.operators.selection import order_statistics
 
 def temporal_cut(
     df: DataFrame, fraction: float = 0.8, us: str = "us", seq: str = "seq"
-) -> tuple[int, int] | None:
-    """(us, seq) of the first row after the earliest ``int(fraction * n)`` rows."""
+) -> tuple[int, int | None] | None:
+    """(us, seq) of the first row after the earliest ``int(fraction * n)`` rows.
+
+    ``seq`` is None where the time alone decides.
+    """
     n = df.count()
     cut = int(n * fraction)
     if cut >= n:
         return None
     at, below = order_statistics(df, us, [cut])[cut]
+    if below == cut:  # every row of this time is late
+        return at, None
     tied = df.where(F.col(us) == F.lit(at))
     return at, order_statistics(tied, seq, [cut - below])[cut - below][0]
 
@@ -37,5 +42,7 @@ def temporal_split(
     cut = temporal_cut(df, fraction, us, seq)
     if cut is None:
         return df.withColumn(column, F.lit(names[0]))
-    early = (F.col(us) < cut[0]) | ((F.col(us) == cut[0]) & (F.col(seq) < cut[1]))
+    early = F.col(us) < cut[0]
+    if cut[1] is not None:
+        early = early | ((F.col(us) == cut[0]) & (F.col(seq) < cut[1]))
     return df.withColumn(column, F.when(early, names[0]).otherwise(names[1]))
