@@ -91,22 +91,16 @@ def last_update_within(
     update is copied to two slices and no window spans more than one slice.
     """
     width = (ttl_s + 1) * MICROS
-    events = _events(rows, updates, keys, us, order)
-    own = F.expr(f"_us div {width}L")
-    slices = F.when(F.col("_kind") == 0, F.array(own, own + 1)).otherwise(F.array(own))
-    spec = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy("_us", "_kind", "_ord")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    sliced = events.withColumn("_slice", F.explode(slices))
-    found = (
-        sliced.withColumn("update", F.last("_update", ignorenulls=True).over(spec))
-        .where("_kind = 1")
-        .select("_row.*", "update")
+    own = F.expr(f"{us} div {width}L")
+    found = last_update(
+        rows.withColumn("_slice", own),
+        updates.withColumn("_slice", F.explode(F.array(own, own + 1))),
+        keys + ["_slice"],
+        us,
+        order,
     )
     age = F.expr(f"{us} div {MICROS}L - update.{us} div {MICROS}L")
-    return found.withColumn("update", F.when(age <= ttl_s, F.col("update")))
+    return found.withColumn("update", F.when(age <= ttl_s, F.col("update"))).drop("_slice")
 
 
 def risk_delta_lookup(

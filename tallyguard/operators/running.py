@@ -71,6 +71,48 @@ def running_sums(
     )
 
 
+def add_sums_before(
+    rows: DataFrame, events: DataFrame, keys: list[str], names: list[str], us: str = "us"
+) -> DataFrame:
+    """Add to rows of dense keys the event totals of strictly earlier times.
+
+    ``events`` has the keys, their chunk marks, ``_at`` and the value columns, and
+    at least one event at each row's time. Events of equal key and time are
+    combined before anything is ordered, so neither busy keys nor busy moments
+    gather in one task.
+    """
+    per_time = (
+        events.groupBy(*keys, *MARKS, "_at")
+        .agg(*[F.sum(n).alias(f"_d_{n}") for n in names])
+        .withColumn("_chunk", chunk_id("_at"))
+    )
+    totals = running_sums(
+        per_time, keys, ["_at"], {n: F.col(f"_d_{n}") for n in names}, "before", "_chunk"
+    ).select(*keys, F.col("_at").alias(us), *names)
+    return match_on(rows, totals, keys + [us], "inner")
+
+
+def add_tied_sums(
+    df: DataFrame,
+    keys: list[str],
+    sums: dict[str, Column],
+    frame: str = "before",
+    us: str = "us",
+    seq: str = "seq",
+    rows: int | None = None,
+) -> DataFrame:
+    """Add running sums over the rows of the same key and time, in ``seq`` order."""
+    part = keys + [us]
+    sparse, dense = split_dense(df, part, seq, rows=rows)
+    out = running_sums(sparse, part, [seq], sums, frame)
+    if dense is None:
+        return out
+    cut = dense.withColumn("_chunk", chunk_id(seq))
+    return out.unionByName(
+        running_sums(cut, part, [seq], sums, frame, "_chunk").drop("_chunk", *MARKS)
+    )
+
+
 def neighbour_times(
     df: DataFrame, keys: list[str], us: str = "us", seq: str = "seq", rows: int | None = None
 ) -> DataFrame:

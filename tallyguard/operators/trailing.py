@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.operators.running import centred_m2, neighbour_times, running_sums
+from tallyguard.operators.running import (
+    add_sums_before,
+    add_tied_sums,
+    centred_m2,
+    neighbour_times,
+    prior_moments,
+    running_sums,
+)
 from tallyguard.operators.skew import (
     MARKS,
     ROWS_PER_CHUNK,
     SLIDING_ROWS,
-    chunk_id,
     split_dense,
 )
 
@@ -44,7 +50,7 @@ def _sparse_windows(df, keys, counts, value, moments, us) -> DataFrame:
 
 
 def _dense_windows(df, keys, counts, value, moments, us, columns) -> DataFrame:
-    """Each row enters at its time and leaves ``w`` later; running sums per chunk."""
+    """Each row enters at its time and leaves ``w`` later; running sums of both."""
     spans = {**counts, **moments}
     names = list(spans)
     moves = [F.struct(F.lit(0).alias("kind"), F.col(us).alias("at"))]
@@ -56,34 +62,25 @@ def _dense_windows(df, keys, counts, value, moments, us, columns) -> DataFrame:
     present = F.col(value).isNotNull() if value else F.lit(True)
     events = df.select(
         *keys,
-        "_lo",
-        "_width",
-        "_shift",
+        *MARKS,
         F.coalesce(x, F.lit(0.0)).alias("_x"),
         present.cast("int").alias("_present"),
-        F.struct(*columns).alias("_row"),
         F.explode(F.array(*moves)).alias("_move"),
-    ).select(
-        *[c for c in keys],
-        *MARKS,
-        "_x",
-        "_present",
-        F.col("_move.at").alias("_at"),
-        F.col("_move.kind").alias("_kind"),
-        F.when(F.col("_move.kind") == 0, F.col("_row")).alias("_row"),
     )
     sums: dict[str, Column] = {}
     for i, n in enumerate(names, 1):
-        sign = F.when(F.col("_kind") == 0, 1).when(F.col("_kind") == i, -1).otherwise(0)
+        kind = F.col("_move.kind")
+        sign = F.when(kind == 0, 1).when(kind == i, -1).otherwise(0)
         if n in counts:
             sums[n] = sign.cast("bigint")
         else:
             sums[f"{n}_n"] = (sign * F.col("_present")).cast("bigint")
             sums[f"{n}_s"] = sign * F.col("_x")
             sums[f"{n}_q"] = sign * F.col("_x") * F.col("_x")
-    summed = running_sums(
-        events.withColumn("_chunk", chunk_id("_at")), keys, ["_at"], sums, "earlier", "_chunk"
-    ).where("_kind = 0")
+    moved = events.select(
+        *keys, *MARKS, F.col("_move.at").alias("_at"), *[v.alias(n) for n, v in sums.items()]
+    )
+    summed = add_sums_before(df, moved, keys, list(sums), us)
     out = [F.col(n) for n in counts]
     for n in moments:
         out += [
@@ -93,40 +90,29 @@ def _dense_windows(df, keys, counts, value, moments, us, columns) -> DataFrame:
             ).alias(f"{n}_mean"),
             centred_m2(f"{n}_n", f"{n}_s", f"{n}_q").alias(f"{n}_m2"),
         ]
-    return summed.select("_row.*", *out)
+    return summed.select(*columns, *out)
 
 
-def _add_tied_predecessors(df, keys, counts, value, moments, us, seq) -> DataFrame:
+def _add_tied_predecessors(df, keys, counts, value, moments, us, seq, rows) -> DataFrame:
     """Merge the earlier rows of the same timestamp into counts and moments."""
-    ties = (
-        Window.partitionBy(*keys, us)
-        .orderBy(seq)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    keep = [c for c in df.columns if c not in counts]
-    keep = [
-        c for c in keep if not any(c in (f"{m}_n", f"{m}_mean", f"{m}_m2") for m in moments)
-    ]
-    df = df.withColumn("_tn", F.count(F.lit(1)).over(ties))
+    merged = [f"{m}_{part}" for m in moments for part in ("n", "mean", "m2")]
+    keep = [c for c in df.columns if c not in counts and c not in merged]
+    df = add_tied_sums(df, keys, {"_tn": F.lit(1).cast("bigint")}, "before", us, seq, rows)
     if moments:
-        df = (
-            df.withColumn("_tv", F.count(value).over(ties))
-            .withColumn("_tm", F.avg(value).over(ties))
-            .withColumn("_tq", F.var_pop(value).over(ties) * F.count(value).over(ties))
-        )
+        df = prior_moments(df, keys + [us], value, seq, seq, rows=rows)
     columns = [(F.col(n) + F.col("_tn")).alias(n) for n in counts]
     for m in moments:
-        a, b = F.col(f"{m}_n"), F.col("_tv")
-        gap = F.col("_tm") - F.col(f"{m}_mean")
+        a, b = F.col(f"{m}_n"), F.col("prior_n")
+        gap = F.col("prior_mean") - F.col(f"{m}_mean")
         columns += [
             (a + b).alias(f"{m}_n"),
             F.when(b == 0, F.col(f"{m}_mean"))
-            .when(a == 0, F.col("_tm"))
+            .when(a == 0, F.col("prior_mean"))
             .otherwise(F.col(f"{m}_mean") + gap * b / (a + b))
             .alias(f"{m}_mean"),
             F.when(b == 0, F.col(f"{m}_m2"))
-            .when(a == 0, F.col("_tq"))
-            .otherwise(F.col(f"{m}_m2") + F.col("_tq") + gap * gap * a * b / (a + b))
+            .when(a == 0, F.col("prior_m2"))
+            .otherwise(F.col(f"{m}_m2") + F.col("prior_m2") + gap * gap * a * b / (a + b))
             .alias(f"{m}_m2"),
         ]
     return df.select(*keep, *columns)
@@ -153,7 +139,7 @@ def trailing_windows(
             _dense_windows(dense, keys, counts, value, moments, us, df.columns)
         )
     if ties == "row":
-        out = _add_tied_predecessors(out, keys, counts, value, moments, us, seq)
+        out = _add_tied_predecessors(out, keys, counts, value, moments, us, seq, rows)
     return out
 
 
@@ -175,64 +161,65 @@ def trailing_distinct(
     where it closes. No array of items is ever built. ``through`` counts the
     row's own item too.
     """
-    sparse, dense = split_dense(df, keys, us, rows=rows)
     names = list(windows)
-
-    def sweep(part: DataFrame, chunked: bool) -> DataFrame:
-        # A pair of key and item is dense only where the key is.
-        linked = neighbour_times(part, keys + [item], us, seq, None if chunked else 0)
-        moves = [F.struct(F.lit(0).alias("kind"), F.col(us).alias("at"))]
-        for i, n in enumerate(names, 1):
-            ends = F.col("next_us").isNull() | (F.col("next_us") - F.col(us) > windows[n])
-            moves.append(
-                F.when(
-                    ends,
-                    F.struct(F.lit(i).alias("kind"), (F.col(us) + windows[n]).alias("at")),
-                )
-            )
-        opened = [
-            F.when(F.col("prev_us").isNull() | (F.col(us) - F.col("prev_us") > windows[n]), 1)
-            .otherwise(0)
-            .alias(f"_open{i}")
-            for i, n in enumerate(names, 1)
-        ]
-        marks = MARKS if chunked else []
-        events = (
-            linked.select(
-                *keys,
-                *marks,
-                F.col(seq).alias("_seq"),
-                *opened,
-                F.struct(*df.columns).alias("_row"),
-                F.explode(F.array_compact(F.array(*moves))).alias("_move"),
-            )
-            .select(
-                *keys,
-                *marks,
-                "_seq",
-                *[f"_open{i}" for i in range(1, len(names) + 1)],
-                F.col("_move.at").alias("_at"),
-                F.col("_move.kind").alias("_kind"),
-                F.when(F.col("_move.kind") == 0, F.col("_row")).alias("_row"),
-            )
-            .withColumn("_late", (F.col("_kind") > 0).cast("int"))
+    opened = {
+        n: F.when(F.col("prev_us").isNull() | (F.col(us) - F.col("prev_us") > w), 1)
+        .otherwise(0)
+        .cast("bigint")
+        for n, w in windows.items()
+    }
+    moves = [F.struct(F.lit(0).alias("kind"), F.col(us).alias("at"))]
+    for i, (n, w) in enumerate(windows.items(), 1):
+        ends = F.col("next_us").isNull() | (F.col("next_us") - F.col(us) > w)
+        moves.append(
+            F.when(ends, F.struct(F.lit(i).alias("kind"), (F.col(us) + w).alias("at")))
         )
-        if chunked:
-            events = events.withColumn("_chunk", chunk_id("_at"))
-        sums = {
-            n: F.when(F.col("_kind") == 0, F.col(f"_open{i}"))
-            .when(F.col("_kind") == i, -1)
-            .otherwise(0)
-            .cast("bigint")
-            for i, n in enumerate(names, 1)
-        }
-        frame = "earlier" if ties == "strict" else ("through" if through else "before")
-        summed = running_sums(
-            events, keys, ["_at", "_late", "_seq"], sums, frame, "_chunk" if chunked else None
+    linked = neighbour_times(df, keys + [item], us, seq, rows)
+    linked = linked.select("*", *[v.alias(f"_open_{n}") for n, v in opened.items()])
+    change = {
+        n: F.when(F.col("_move.kind") == 0, F.col(f"_open_{n}"))
+        .when(F.col("_move.kind") == i, -1)
+        .otherwise(0)
+        .cast("bigint")
+        .alias(f"_move_{n}")
+        for i, n in enumerate(names, 1)
+    }
+    sparse, dense = split_dense(linked, keys, us, rows=rows)
+    frame = "through" if through else "before"
+
+    # Sparse keys: rows and closings in one order, the row itself carried along.
+    events = (
+        sparse.withColumn("_move", F.explode(F.array_compact(F.array(*moves))))
+        .select(
+            *keys,
+            F.col(seq).alias("_seq"),
+            F.col("_move.at").alias("_at"),
+            F.col("_move.kind").alias("_kind"),
+            *change.values(),
+            F.when(F.col("_move.kind") == 0, F.struct(*df.columns)).alias("_row"),
         )
-        return summed.where("_kind = 0").select("_row.*", *names)
+        .withColumn("_late", (F.col("_kind") > 0).cast("int"))
+    )
+    swept = running_sums(
+        events,
+        keys,
+        ["_at", "_late", "_seq"],
+        {n: F.col(f"_move_{n}") for n in names},
+        "earlier" if ties == "strict" else frame,
+    )
+    out = swept.where("_kind = 0").select("_row.*", *names)
+    if dense is None:
+        return out
 
-    out = sweep(sparse, False)
-    if dense is not None:
-        out = out.unionByName(sweep(dense, True))
-    return out
+    # Dense keys: totals of earlier times, then openings at the same time.
+    moved = dense.withColumn("_move", F.explode(F.array_compact(F.array(*moves)))).select(
+        *keys, *MARKS, F.col("_move.at").alias("_at"), *change.values()
+    )
+    busy = add_sums_before(dense, moved, keys, [f"_move_{n}" for n in names], us)
+    if ties == "row":
+        here = {f"_tied_{n}": F.col(f"_open_{n}") for n in names}
+        busy = add_tied_sums(busy.drop(*MARKS), keys, here, frame, us, seq, rows)
+    total = [
+        (F.col(f"_move_{n}") + (F.col(f"_tied_{n}") if ties == "row" else 0)).alias(n) for n in names
+    ]
+    return out.unionByName(busy.select(*df.columns, *total))
