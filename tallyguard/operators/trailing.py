@@ -93,18 +93,19 @@ def _dense_windows(df, keys, counts, value, moments, us, columns) -> DataFrame:
     return summed.select(*columns, *out)
 
 
-def _add_tied_predecessors(df, keys, counts, value, moments, us, seq, rows) -> DataFrame:
-    """Merge the earlier rows of the same timestamp into counts and moments."""
-    merged = [f"{m}_{part}" for m in moments for part in ("n", "mean", "m2")]
-    keep = [c for c in df.columns if c not in counts and c not in merged]
+def _tied_predecessors(df, keys, value, moments, us, seq, rows) -> DataFrame:
+    """Add count and moments of the earlier rows of the same timestamp."""
     df = add_tied_sums(df, keys, {"_tn": F.lit(1).cast("bigint")}, "before", us, seq, rows)
-    if moments:
-        df = prior_moments(df, keys + [us], value, seq, seq, rows=rows)
-    columns = [(F.col(n) + F.col("_tn")).alias(n) for n in counts]
+    return prior_moments(df, keys + [us], value, seq, seq, rows=rows) if moments else df
+
+
+def _merge_tied(df, columns, counts, moments) -> DataFrame:
+    """Strictly earlier rows and tied predecessors together."""
+    merged = [(F.col(n) + F.col("_tn")).alias(n) for n in counts]
     for m in moments:
         a, b = F.col(f"{m}_n"), F.col("prior_n")
         gap = F.col("prior_mean") - F.col(f"{m}_mean")
-        columns += [
+        merged += [
             (a + b).alias(f"{m}_n"),
             F.when(b == 0, F.col(f"{m}_mean"))
             .when(a == 0, F.col("prior_mean"))
@@ -115,7 +116,7 @@ def _add_tied_predecessors(df, keys, counts, value, moments, us, seq, rows) -> D
             .otherwise(F.col(f"{m}_m2") + F.col("prior_m2") + gap * gap * a * b / (a + b))
             .alias(f"{m}_m2"),
         ]
-    return df.select(*keep, *columns)
+    return df.select(*columns, *merged)
 
 
 def trailing_windows(
@@ -132,15 +133,17 @@ def trailing_windows(
     """Add trailing row counts and, per entry of ``moments``, ``_n``/``_mean``/``_m2``."""
     moments = moments or {}
     limit = SLIDING_ROWS if moments else ROWS_PER_CHUNK
+    columns = df.columns
+    if ties == "row":
+        # First, so that its finer sort order also serves the windows below.
+        df = _tied_predecessors(df, keys, value, moments, us, seq, rows)
     sparse, dense = split_dense(df, keys, us, value, limit, rows)
     out = _sparse_windows(sparse, keys, counts, value, moments, us)
     if dense is not None:
         out = out.unionByName(
             _dense_windows(dense, keys, counts, value, moments, us, df.columns)
         )
-    if ties == "row":
-        out = _add_tied_predecessors(out, keys, counts, value, moments, us, seq, rows)
-    return out
+    return _merge_tied(out, columns, counts, moments) if ties == "row" else out
 
 
 def trailing_distinct(
@@ -174,8 +177,7 @@ def trailing_distinct(
         moves.append(
             F.when(ends, F.struct(F.lit(i).alias("kind"), (F.col(us) + w).alias("at")))
         )
-    linked = neighbour_times(df, keys + [item], us, seq, rows)
-    linked = linked.select("*", *[v.alias(f"_open_{n}") for n, v in opened.items()])
+    flags = [v.alias(f"_open_{n}") for n, v in opened.items()]
     change = {
         n: F.when(F.col("_move.kind") == 0, F.col(f"_open_{n}"))
         .when(F.col("_move.kind") == i, -1)
@@ -184,12 +186,15 @@ def trailing_distinct(
         .alias(f"_move_{n}")
         for i, n in enumerate(names, 1)
     }
-    sparse, dense = split_dense(linked, keys, us, rows=rows)
+    sparse, dense = split_dense(df, keys, us, rows=rows)
     frame = "through" if through else "before"
 
     # Sparse keys: rows and closings in one order, the row itself carried along.
+    # Placing rows by key first serves both the pair order and the sweep.
+    linked = neighbour_times(sparse.repartition(*keys), keys + [item], us, seq, rows=0)
     events = (
-        sparse.withColumn("_move", F.explode(F.array_compact(F.array(*moves))))
+        linked.select("*", *flags)
+        .withColumn("_move", F.explode(F.array_compact(F.array(*moves))))
         .select(
             *keys,
             F.col(seq).alias("_seq"),
@@ -207,11 +212,16 @@ def trailing_distinct(
         {n: F.col(f"_move_{n}") for n in names},
         "earlier" if ties == "strict" else frame,
     )
-    out = swept.where("_kind = 0").select("_row.*", *names)
+    # Keys come from the event columns: their partitioning serves later windows too.
+    out = swept.where("_kind = 0").select(
+        *[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns], *names
+    )
     if dense is None:
         return out
 
     # Dense keys: totals of earlier times, then openings at the same time.
+    linked = neighbour_times(dense.drop(*MARKS), keys + [item], us, seq)
+    _, dense = split_dense(linked.select("*", *flags), keys, us)
     moved = dense.withColumn("_move", F.explode(F.array_compact(F.array(*moves)))).select(
         *keys, *MARKS, F.col("_move.at").alias("_at"), *change.values()
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.calendar import calendar_features
@@ -72,8 +72,10 @@ def device_zscore(df: DataFrame, clip: float = 10.0) -> DataFrame:
 
 def sender_features(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
     """Velocity counts, z-score and first-seen flag; one shuffle on the sender."""
-    timed = trailing_windows(df, keys, DEVICE_COUNTS, "amount", {"_d24": DAY}, rows=rows)
-    return first_seen(device_zscore(timed), keys, "is_new_device", rows=rows)
+    # First-seen first: its sort by (us, seq) also serves the time windows.
+    seen = first_seen(df, keys, "is_new_device", rows=rows)
+    timed = trailing_windows(seen, keys, DEVICE_COUNTS, "amount", {"_d24": DAY}, rows=rows)
+    return device_zscore(timed)
 
 
 def receiver_features(
@@ -81,8 +83,8 @@ def receiver_features(
 ) -> DataFrame:
     """Receiver counts, distinct senders (earlier tied rows included) and first-seen flag."""
     distinct = trailing_distinct(df, keys, sender, RECEIVER_SENDERS, rows=rows)
-    counted = trailing_windows(distinct, keys, RECEIVER_COUNTS, rows=rows)
-    return first_seen(counted, keys, "is_new_receiver", rows=rows)
+    seen = first_seen(distinct, keys, "is_new_receiver", rows=rows)
+    return trailing_windows(seen, keys, RECEIVER_COUNTS, rows=rows)
 
 
 def behavioural(
@@ -97,9 +99,14 @@ def behavioural(
     return receiver_features(by_sender, scope + [receiver], sender, rows)
 
 
+def fitted_amounts(amounts: DataFrame) -> tuple[Column, Column]:
+    """Mean and deviation from one scalar subquery."""
+    pair = amounts.select(F.struct("global_mean", "global_std").alias("s")).scalar()
+    return pair.getField("global_mean"), pair.getField("global_std")
+
+
 def global_zscore(df: DataFrame, amounts: DataFrame) -> DataFrame:
-    mean = amounts.select("global_mean").scalar()
-    std = amounts.select("global_std").scalar()
+    mean, std = fitted_amounts(amounts)
     return df.withColumn(
         "amount_zscore_global", (F.col("amount") - mean) / (std + F.lit(EPSILON))
     )

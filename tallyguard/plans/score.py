@@ -36,7 +36,7 @@ def score_batch(
     receiver: str = "receiver_id",
 ) -> DataFrame:
     """Topology, novelty, scores, fusion and verdict for every transaction."""
-    rows = first_seen(topology_signal(tx, sender, receiver), [sender], "is_new_device")
+    rows = topology_signal(first_seen(tx, [sender], "is_new_device"), sender, receiver)
     p = rule_probability("amount", "is_new_device") if supervised is None else supervised
     a = F.least(F.lit(1.0), F.col("sender_txn_10m") / 20.0) if anomaly is None else anomaly
     return verdicts(rows.withColumn("lgbm_score", p).withColumn("anomaly_score", a),

@@ -15,6 +15,7 @@ from tallyguard.streaming.jobs import (
 from tallyguard.streaming.state import counts_since, distinct_since
 
 DAY_S = 86_400
+START_S = 1_700_000_000  # a stream's first watermark is the epoch, and earlier rows are late
 
 
 def test_array_helpers_equal_brute_force():
@@ -36,7 +37,7 @@ def test_idle_keys_are_evicted_but_stay_seen(spark):
     """A gap of several days empties the history; the first-seen flag survives."""
     rows = [(0, 0, "a"), (1, 60, "a"), (2, 5 * DAY_S, "b"), (3, 6 * DAY_S, "a"), (4, 6 * DAY_S + 30, "a")]
     df = spark.createDataFrame(
-        [(s, t * 1_000_000, x, "r", 10.0) for s, t, x in rows],
+        [(s, (START_S + t) * 1_000_000, x, "r", 10.0) for s, t, x in rows],
         "seq bigint, us bigint, sender_id string, receiver_id string, amount double",
     ).withColumn("ts", F.timestamp_micros("us"))
     path = scratch_path(spark, "idle")
