@@ -18,17 +18,24 @@ from tallyguard.catalog.derived import (
 )
 from tallyguard.functions.calendar import calendar_features
 from tallyguard.functions.identity import hash_pii
+from tallyguard.functions.narration import (
+    balance_drain,
+    bank_of,
+    narration_category,
+    narration_vpa,
+    plaid_category,
+    plaid_txn_type,
+)
+from tallyguard.functions.vectors import statement_vector
 from tallyguard.operators.encode import amount_stats
 from tallyguard.operators.split import temporal_split
-from tallyguard.plans.compile import compile_features
-from tallyguard.schema import FEATURE_ORDER
+from tallyguard.plans.feed import scored_feed
 from tallyguard.session import scratch_path
 from tallyguard.sources.canonical import canonicalise, coerce_types, resolve_aliases
 from tallyguard.sources.files import (
     require_columns,
     scan_csv,
     scan_demo_csv,
-    scan_features,
     scan_recent_edges,
 )
 from tallyguard.sources.sinks import (
@@ -51,9 +58,6 @@ from tallyguard.sources.statements import (
     union_sources,
 )
 
-__all__ = ["compile_features", "scan_features"]
-
-
 @query(
     "s01_csv_scan",
     """SELECT transaction_id AS txn, us, amount, sender_id, receiver_bank AS receiver_id, fraud_flag,
@@ -400,8 +404,6 @@ def p18(spark, sf):
     SETU_RAW,
 )
 def p16(spark, sf):
-    from tallyguard.functions.vectors import statement_vector
-
     v = normalise_setu(setu_raw(spark, sf).drop("seq")).withColumn("v", statement_vector())
     picked = [F.col("v")[i].alias(f"f{i}") for i in (0, 1, 2, 3, 5, 6, 7, 16, 22)]
     return v.select(
@@ -413,15 +415,11 @@ def p16(spark, sf):
     "p19_narration_category", f"SELECT seq, {_CAT} AS category FROM setu_raw", SETU_RAW
 )
 def p19(spark, sf):
-    from tallyguard.functions.narration import narration_category
-
     return setu_raw(spark, sf).select("seq", narration_category("narration").alias("category"))
 
 
 @query("p20_narration_vpa", f"SELECT seq, {_VPA} AS vpa FROM setu_raw", SETU_RAW)
 def p20(spark, sf):
-    from tallyguard.functions.narration import narration_vpa
-
     return setu_raw(spark, sf).select("seq", narration_vpa("narration").alias("vpa"))
 
 
@@ -431,8 +429,6 @@ def p20(spark, sf):
     SETU_RAW,
 )
 def p21(spark, sf):
-    from tallyguard.functions.narration import bank_of
-
     return setu_raw(spark, sf).select(
         "seq", bank_of("account_id").alias("sender_bank"), bank_of("narration").alias("receiver_bank")
     )
@@ -453,8 +449,6 @@ def p22(spark, sf):
     PLAID_RAW,
 )
 def p23(spark, sf):
-    from tallyguard.functions.narration import plaid_txn_type
-
     return plaid_raw(spark, sf).select(
         "seq", plaid_txn_type("payment_channel", "category").alias("transaction_type")
     )
@@ -467,8 +461,6 @@ def p23(spark, sf):
     SETU_RAW,
 )
 def p24(spark, sf):
-    from tallyguard.functions.narration import balance_drain
-
     return setu_raw(spark, sf).select(
         "seq", r6(balance_drain("amount", "currentBalance")).alias("drain")
     )
@@ -480,8 +472,6 @@ def p24(spark, sf):
     PLAID_RAW,
 )
 def j07(spark, sf):
-    from tallyguard.functions.narration import plaid_category
-
     return plaid_raw(spark, sf).select("seq", plaid_category("category").alias("category"))
 
 
@@ -517,4 +507,22 @@ def u01(spark, sf):
     )
 
 
-FEATURE_NAMES = FEATURE_ORDER
+_RULE = "CASE WHEN a > 40000 OR contains(v, 'agent') OR contains(v, 'cash') THEN {0} WHEN a > 10000 OR contains(v, 'wallet') OR contains(v, 'crypto') THEN {1} ELSE {2} END"
+
+
+@query(
+    "u01_scored_feed",
+    f"""SELECT source, transaction_id, {_RULE.format("'BLOCK'", "'FLAG'", "'ALLOW'")} AS verdict,
+      {_RULE.format("0.89::DOUBLE", "0.58::DOUBLE", "0.1::DOUBLE")} AS lgbm_score FROM (
+      SELECT 'setu' AS source, "txnId" AS transaction_id, amount AS a, {_VPA} AS v FROM setu_raw
+        WHERE type = 'DEBIT' AND amount > 0
+      UNION ALL SELECT 'plaid', transaction_id, abs(amount) * 83.5,
+        coalesce(nullif(substr(regexp_replace({_MERCHANT}, '[^a-z0-9]', '', 'g'), 1, 14), ''), 'merchant') || '@upi' FROM plaid_raw)""",
+    SETU_RAW + ", " + PLAID_RAW,
+)
+def u01_feed(spark, sf):
+    both = union_sources(
+        normalise_setu(setu_raw(spark, sf).drop("seq")),
+        normalise_plaid(plaid_raw(spark, sf).drop("seq")),
+    )
+    return scored_feed(both).select("source", "transaction_id", "verdict", "lgbm_score")

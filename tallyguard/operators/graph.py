@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyguard.functions.rounding import fixed_text, round_exact
+from tallyguard.operators.selection import order_statistics
+from tallyguard.operators.skew import ROWS_PER_CHUNK, budget
 
 # --- fixed values: detector thresholds and base contributions ---------------
 WINDOW_EDGES = 5000
@@ -30,7 +32,16 @@ def scaled(base: float, severity: Column) -> Column:
 def last_edges(
     edges: DataFrame, size: int = WINDOW_EDGES, us: str = "us", seq: str = "seq"
 ) -> DataFrame:
-    """The newest ``size`` edges (the sliding window of the graph)."""
+    """The newest ``size`` edges (the sliding window of the graph).
+
+    On large tables the time of the oldest wanted edge is found first, so that
+    only about ``size`` rows reach the final ordering instead of ``size`` from
+    every partition.
+    """
+    n = edges.count()
+    if n > max(size, budget(edges.sparkSession, ROWS_PER_CHUNK)):
+        oldest = order_statistics(edges, us, [n - size])[n - size][0]
+        edges = edges.where(F.col(us) >= F.lit(oldest))
     return edges.orderBy(F.col(us).desc(), F.col(seq).desc()).limit(size)
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.operators.asof import last_update
 from tallyguard.operators.encode import small_side
 from tallyguard.operators.skew import match_on
 from tallyguard.schema import DAY, TIERS
@@ -94,12 +93,3 @@ def erase(
         match_on(vectors, asked, [key], "left_anti"),
     )
 
-
-__all__ = [
-    "erase",
-    "last_update",
-    "policy_at",
-    "resolve_policy",
-    "tier_profiles",
-    "with_tier_profile",
-]

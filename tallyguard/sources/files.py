@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyguard.operators.graph import last_edges
 from tallyguard.schema import FEATURE_ORDER, LABEL
 
 # --- fixed values: demo traffic CSV, 19 columns in order ----------------------
@@ -63,13 +64,15 @@ def scan_recent_edges(
     sender: str = "sender_bank",
     receiver: str = "receiver_bank",
     amount: str = "amount",
-    order: tuple[str, ...] = ("us", "seq"),
+    us: str = "us",
+    seq: str = "seq",
 ) -> DataFrame:
     """The newest ``size`` edges of a parquet table; only the needed columns are read."""
     scan = spark.read.parquet(path).select(
         F.col(sender).cast("string").alias("src"),
         F.col(receiver).cast("string").alias("dst"),
         F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("amount"),
-        *order,
+        us,
+        seq,
     )
-    return scan.orderBy(*[F.col(c).desc() for c in order]).limit(size)
+    return last_edges(scan, size, us, seq)

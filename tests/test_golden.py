@@ -7,7 +7,14 @@ from tallyguard.functions import scoring
 from tallyguard.functions.identity import first_filled, hash_id, mask_vpa
 from tallyguard.functions.rounding import fixed_text, round_exact
 from tallyguard.operators.asof import cache_outcomes, last_update, risk_delta_lookup
-from tallyguard.operators.graph import degrees, detections, graph_stats, node_risk, simple_cycles
+from tallyguard.operators.graph import (
+    degrees,
+    detections,
+    graph_stats,
+    last_edges,
+    node_risk,
+    simple_cycles,
+)
 from tallyguard.operators.metrics import (
     holdout_report,
     pr_auc,
@@ -269,3 +276,10 @@ def test_text_rounding(spark, x):
     df = spark.createDataFrame([(x,)], "x double")
     row = df.select(fixed_text(F.col("x")).alias("t"), round_exact(F.col("x"), 4).alias("r")).first()
     assert row["t"] == f"{x:.2f}" and row["r"] == round(x, 4)
+
+
+def test_newest_edges_of_a_large_table(spark, dense):
+    rows = [("a", "b", (i * 37) % 100 // 4, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "src string, dst string, us bigint, seq bigint")
+    got = [(r["us"], r["seq"]) for r in last_edges(df, 11).collect()]
+    assert got == sorted(((u, s) for _, _, u, s in rows), reverse=True)[:11]
