@@ -37,21 +37,27 @@ def as_text(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit("nan"))
 
 
-def ordinal_fit(train: DataFrame, columns: list[str] = OPTIONALS) -> DataFrame:
+def ordinal_fit(
+    train: DataFrame, columns: list[str] = OPTIONALS, local_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """(column, category, code): position of each category in sorted order.
 
-    Numbering runs per (column, leading characters) with the sizes of earlier
-    prefixes added, so a column with very many categories is not ranked in one task.
+    Up to ``local_rows`` distinct categories are numbered as one fetched list. More
+    are numbered per (column, leading characters) with the sizes of earlier prefixes
+    added, so a column with very many categories is not ranked in one task.
     """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("category")) for c in columns])
     )
-    distinct = (
-        train.select(pairs.alias("p"))
-        .select("p.*")
-        .distinct()
-        .withColumn("_prefix", F.substring("category", 1, _PREFIX))
-    )
+    distinct = train.select(pairs.alias("p")).select("p.*").distinct()
+    fetched = distinct.limit(local_rows + 1).collect()
+    if len(fetched) <= local_rows:
+        names = {c: sorted(r["category"] for r in fetched if r["column"] == c) for c in columns}
+        return train.sparkSession.createDataFrame(
+            [(c, name, i) for c in columns for i, name in enumerate(names[c])],
+            "column string, category string, code bigint",
+        )
+    distinct = distinct.withColumn("_prefix", F.substring("category", 1, _PREFIX))
     starts = Window.partitionBy("column").orderBy("_prefix").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -71,9 +71,10 @@ def test_dropped_rows_are_counted(spark):
     assert seen.get["bad_timestamps"] == 2
 
 
-def test_ordinal_codes(spark):
+@pytest.mark.parametrize("local_rows", [0, 100])
+def test_ordinal_codes(spark, local_rows):
     train = spark.createDataFrame([("b",), ("a",), (None,), ("B",), ("abcde",), ("abcdf",)], "sender_bank string")
-    maps = ordinal_fit(train, ["sender_bank"])
+    maps = ordinal_fit(train, ["sender_bank"], local_rows)
     got = {r["category"]: r["code"] for r in maps.collect()}
     assert got == {c: i for i, c in enumerate(sorted(["b", "a", "nan", "B", "abcde", "abcdf"]))}
     rows = spark.createDataFrame([("a",), ("zzz",), (None,)], "sender_bank string")
