@@ -37,7 +37,9 @@ PERCENT = 80  # links: 100 * intersection >= PERCENT * union
 MISS = 1e-4  # probability of missing a pair at the threshold
 _ROWS = 2  # minimum hashes per half key
 _MEMBERS = 2_000  # comparisons with one representative per task group
-_BLOCK = 512
+_BLOCK = 2_048  # members of a table compared in memory at a time
+_SKETCH = 512  # minimum hashes, one byte each, that such comparisons use
+_ALPHA = 4.5  # standard deviations a linked pair may fall short of the threshold there
 _CACHE_WORDS = 400_000
 _ENOUGH = 0.30  # a pair goes to the exact check unless its estimate is this far below
 _U = np.uint64
@@ -155,13 +157,16 @@ def _signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def _members(classes: DataFrame, m: int) -> DataFrame:
-    """(key, id) of every table key that at least two classes share."""
+    """(key, table, id, rep) of every table key that at least two classes share; rep is the smallest."""
     halves = classes.select("id", F.posexplode("halves").alias("at", "half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     own = halves.join(shared, "half", "left_semi").groupBy("id").agg(F.collect_list(F.struct("at", "half")).alias("hs"))
     first, second = F.filter("hs", lambda h: h["at"] < m), F.filter("hs", lambda h: h["at"] >= m)
-    keys = F.flatten(F.transform(first, lambda a: F.transform(second, lambda b: F.xxhash64(a["half"], b["half"]))))
-    rows = settle(own.select("id", F.explode(keys).alias("key")), "near-keys")
+    table = lambda a, b: (a["at"] * m + b["at"] - m).alias("table")
+    keys = F.flatten(
+        F.transform(first, lambda a: F.transform(second, lambda b: F.struct(table(a, b), F.xxhash64(a["half"], b["half"]).alias("key"))))
+    )
+    rows = settle(own.select("id", F.explode(keys).alias("k")).select("id", "k.table", "k.key"), "near-keys")
     several = rows.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "rep")
     return settle(rows.join(several, "key"), "near-members")
 
@@ -271,50 +276,70 @@ def _with_label(rows: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return rows.join(named, column, "left").withColumn(f"{column}_label", F.coalesce("__l", column)).drop("__l")
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, count: int) -> DataFrame:
-    """Plausible pairs of different components within one table, for every table.
+def _sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, sketch): the low bytes of ``_SKETCH`` minimum hashes, for the documents ``ids``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [min_hashes(shingle_set(t.as_py(), k), _SKETCH).astype(np.uint8).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "sketch"])
+
+    wanted = settle(ids.distinct(), "near-mixed").where("id IS NOT NULL AND id = id")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("id", "text")
+    with _runtime_filter(docs.sparkSession):
+        return settle(texts.mapInArrow(run, "id bigint, sketch binary"), "near-sketches")
+
+
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, m: int) -> DataFrame:
+    """Plausible pairs (id, rep) of different components that share a table, each pair once.
 
     Members of a table are cut into blocks of about ``_BLOCK``; a task compares two
-    blocks in memory and passes on only pairs that sizes and minimum hashes allow.
+    blocks in memory. A pair is looked at in the first table that it shares only, and
+    passed on if set sizes and a long sketch allow a link.
     """
-    rows = _with_label(members.select("key", "id"), labels, "id")
+    rows = _with_label(members.select("key", "table", "id"), labels, "id")
     mixed = rows.groupBy("key").agg(
         F.min("id_label").alias("lo"), F.max("id_label").alias("hi"), F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks")
     )
-    rows = rows.join(mixed.where("lo != hi").select("key", "blocks"), "key")
-    rows = rows.join(classes.select("id", "n", "low"), "id")
+    rows = settle(rows.join(mixed.where("lo != hi").select("key", "blocks"), "key"), "near-across")
+    sketches = _sketches(rows.select("id"), docs, k)
+    rows = rows.join(classes.select("id", "n", "halves").join(sketches, "id"), "id")
     block = F.pmod(F.xxhash64("id"), "blocks")
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     rows = rows.withColumn("block", block).withColumn("other", other)
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    need = _needed(percent, count)
+    share = percent / 100
+    need = int(_SKETCH * (share - _ALPHA * math.sqrt(share * (1 - share) / _SKETCH)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held, out = None, [], []
 
         def close():
-            ids = np.array([h[0] for h in held], np.int64)
-            label = np.array([h[1] for h in held], np.int64)
+            ids, label, n, block = (np.array([h[c] for h in held], np.int64) for c in range(4))
             if label.min() == label.max():
                 return
-            n, block = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
-            low = np.frombuffer(b"".join(h[4] for h in held), np.uint16).reshape(len(held), -1)
+            table = held[0][4]
+            halves = np.array([h[5] for h in held], np.int64)
+            sketch = np.frombuffer(b"".join(h[6] for h in held), np.uint8).reshape(len(held), -1)
             for x in range(len(held) - 1):
-                ok = label[x + 1 :] != label[x]
+                ok = (label[x + 1 :] != label[x]) & (ids[x + 1 :] != ids[x])
                 if group[1] != group[2]:
                     ok &= block[x + 1 :] != block[x]
                 small, big = np.minimum(n[x + 1 :], n[x]), np.maximum(n[x + 1 :], n[x])
                 at = np.flatnonzero(ok & (small * 100 >= big * percent)) + x + 1
-                if len(at):
-                    at = at[(low[at] == low[x]).sum(1) >= need]
-                    out.extend((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))) for y in at)
+                if not len(at):
+                    continue
+                same = halves[at] == halves[x]
+                at = at[same[:, :m].argmax(1) * m + same[:, m:].argmax(1) == table]
+                at = at[(sketch[at] == sketch[x]).sum(1) >= need] if len(at) else at
+                out.extend((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y]))) for y in at)
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["id", "rep"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "id_label", "n", "block", "low")]
+            columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "id_label", "n", "block", "table", "halves", "sketch")]
             for key, i, j, *row in zip(*columns):
                 if (key, i, j) != group:
                     if held:
@@ -328,7 +353,7 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, percent:
             close()
         yield flush()
 
-    return dealt.mapInArrow(compare, "id bigint, rep bigint").distinct()
+    return dealt.mapInArrow(compare, "id bigint, rep bigint")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -357,7 +382,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     labels = _relabel(None, _confirm(_plausible(best, classes, percent, count), docs, k, percent))
     apart = _with_label(_with_label(stars.select("id", "rep"), labels, "id"), labels, "rep").where("id_label != rep_label")
     labels = _relabel(labels, _confirm(_plausible(apart.select("id", "rep"), classes, percent, count), docs, k, percent))
-    labels = _relabel(labels, _confirm(_across(members, labels, classes, percent, count), docs, k, percent))
+    labels = _relabel(labels, _confirm(_across(members, labels, classes, docs, k, percent, m), docs, k, percent))
     by_class = classes.select("h1", "h2", F.col("n").alias("cn"), "id")
     rows = signed.select("doc_id", "n", "h1", "h2")
     hit = (rows["h1"] == by_class["h1"]) & (rows["h2"] == by_class["h2"]) & (rows["n"] == by_class["cn"])
