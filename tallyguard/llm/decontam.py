@@ -142,6 +142,7 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Pipeline stage form: the documents that hold no benchmark item, all columns kept."""
-    bad = contaminated(docs, items, coverage).select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash")).distinct()
+    bad = contaminated(docs, items, coverage).select(F.col("doc_id").alias("__id"), F.col("doc_hash").alias("__hash"))
+    bad = settle(bad.distinct(), "decontam-bad")
     same = docs["doc_id"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs["text"]) == bad["__hash"])
-    return docs.join(settle(bad, "decontam-bad"), same, "left_anti")
+    return docs.join(bad, same, "left_anti")

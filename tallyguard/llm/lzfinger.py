@@ -177,7 +177,7 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = parts * _CHUNKS
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    cuts = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    cuts = [float("-inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     # chunk numbers rise as ids fall; any rising function of the id may deal them out
     at = F.col("doc_id").cast("double").alias("_at")
     rows = Bucketizer(splits=cuts, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(docs.select("*", at))

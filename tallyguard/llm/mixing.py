@@ -6,8 +6,11 @@ the fractional part is an inclusion probability. The cube method moves these
 probabilities at random through the null space of two constraints, the number of
 documents and the number of words, until all but two are 0 or 1: sums stay what they
 were while every document keeps its probability. Sources are cut into chunks of
-bounded size that run side by side; what a chunk leaves open (two documents) moves on
-to the next round, until one chunk per source is left, which lands the last two.
+bounded size that run side by side; what a chunk leaves open moves on to the next round,
+until one chunk per source is left, which lands. Very long documents are the last to be
+decided, as nothing can make up for them on the way. So every chunk holds back some
+documents of moderate size: after the long ones have landed, the held ones' probabilities
+are shifted by the imbalance, whose mean is zero, and then fly themselves.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ WEIGHTS = (5, 2, 1)  # by the source's place in code point order, repeating; nul
 SHARE = 1.5  # words of the mix over words of the corpus
 MOST = 2.0  # a source gives at most this many times its words
 CHUNK_ROWS = 20_000  # rows of one flight
+RESERVE = 200  # moderate rows that a chunk holds back for the landing
+_FEW = 40  # open rows below which a chunk holds nothing back
 _EPS = 1e-9
 
 
@@ -101,12 +106,48 @@ def flight(pi: list[float], size: list[float], rng, land: bool) -> list[float]:
     return pi
 
 
-def _fly(table: pa.Table) -> pa.Table:
+def decide(pi: list[float], size: list[float], rng, land: bool, reserve: int = RESERVE) -> list[float]:
+    """Flight of a chunk, large units first; with ``land`` every unit ends at 0 or 1.
+
+    ``reserve`` units at most, a quarter of the open ones at most, are held back, evenly
+    from the smaller three quarters. Without ``land`` they stay open beside the two that
+    the flight leaves.
+    """
+    order = sorted(range(len(pi)), key=lambda k: -size[k])
+    open_ = [k for k in order if _EPS < pi[k] < 1 - _EPS]
+    small = [k for k in open_[len(open_) // 4 :] if size[k] > 0]
+    count = min(reserve, len(open_) // 4, len(small)) if len(open_) >= _FEW else 0
+    held = [small[i * len(small) // count] for i in range(count)]
+    apart = set(held)
+    first = [k for k in order if k not in apart]
+    out = list(pi)
+    for k, p in zip(first, flight([pi[k] for k in first], [size[k] for k in first], rng, land)):
+        out[k] = p
+    if not land or not held:
+        return out
+    gap = sum(size[k] * (pi[k] - out[k]) for k in first)
+    shifted = {k: pi[k] for k in held}
+    for _ in range(50):
+        free = [k for k in held if (shifted[k] < 1 if gap > 0 else shifted[k] > 0)]
+        mass = sum(size[k] for k in free)
+        if abs(gap) < _EPS or not mass:
+            break
+        for k in free:
+            new = min(1.0, max(0.0, shifted[k] + gap / mass))
+            gap, shifted[k], mass = gap - size[k] * (new - shifted[k]), new, mass - size[k]
+            if mass <= 0:
+                break
+    for k, p in zip(held, flight([shifted[k] for k in held], [size[k] for k in held], rng, True)):
+        out[k] = p
+    return out
+
+
+def _fly(table: pa.Table, reserve: int) -> pa.Table:
     table = table.sort_by([("size", "descending"), ("_p", "ascending")])
     seed = table.column("_draw")[0].as_py() if table.num_rows else 0
     rng = np.random.default_rng(seed & 0x7FFFFFFFFFFFFFFF)
     size = [float(x) for x in table.column("size").to_pylist()]
-    moved = flight(table.column("_pi").to_pylist(), size, rng, bool(table.column("_land")[0].as_py()))
+    moved = decide(table.column("_pi").to_pylist(), size, rng, bool(table.column("_land")[0].as_py()), reserve)
     return table.set_column(table.column_names.index("_pi"), "_pi", pa.array(moved, pa.float64()))
 
 
@@ -117,13 +158,13 @@ def cube_mix(
     weights: tuple[float, ...] = WEIGHTS,
     seed: int = 17,
     chunk_rows: int = CHUNK_ROWS,
+    reserve: int = RESERVE,
 ) -> DataFrame:
     """``rows`` (source, size and any others, read from files) with ``source_size``,
     ``target`` and ``copies``, the number of times the mix takes the row.
 
     Rows are ordered within their source by a seeded hash of all columns, so the
-    outcome does not depend on how the input is partitioned. Large rows fly first, so
-    what is landed at the end is small. Null sources are one source; repeated rows are
+    outcome does not depend on how the input is partitioned. Null sources are one source; repeated rows are
     separate units; rows of a source without words are not taken.
     """
     kept = rows.columns
@@ -154,11 +195,11 @@ def cube_mix(
             state.withColumn("_land", F.col("_chunks") == 1)
             .withColumn("_draw", F.xxhash64(F.lit(seed), F.lit(turn), "source", "_chunk"))
         )
-        flown = settle(flown.groupBy("source", "_chunk").applyInArrow(_fly, flown.schema), "mix-flight")
+        flown = settle(flown.groupBy("source", "_chunk").applyInArrow(lambda t: _fly(t, reserve), flown.schema), "mix-flight")
         set_ = (F.col("_pi") == 0) | (F.col("_pi") == 1)
         done.append(flown.where(set_).withColumn("copies", (F.col("_base") + F.col("_pi")).cast("int")))
-        # a chunk leaves two rows at most, so this many chunks make one chunk of the next round
-        merge = chunk_rows // 2
+        # a chunk leaves this many rows at most, so ``merge`` chunks make one of the next round
+        merge = max(2, chunk_rows // (reserve + 2))
         state = (
             flown.where(~set_)
             .withColumn("_chunk", F.floor(F.col("_chunk") / merge))

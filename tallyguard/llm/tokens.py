@@ -35,9 +35,9 @@ def frequent_words(texts: DataFrame, frequent: int = FREQUENT, tracked: int = TR
     words = texts.select(F.explode(F.split("text", r"\s+")).alias("w"), (F.spark_partition_id() % _SKETCH_GROUPS).alias("g"))
     words = words.where(F.length("w").between(1, WORD_CHARS))
     sketches = words.groupBy("g").agg(F.expr(f"approx_top_k_accumulate(w, {tracked})").alias("s"))
-    merged = sketches.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {frequent})").alias("top"))
-    top = merged.first()["top"]
-    return [x["item"] for x in top or []]
+    merged = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {tracked}), {frequent})").alias("top"))
+    row = merged.first()
+    return [x["item"] for x in row["top"]] if row else []
 
 
 _TOKENIZERS: dict[int, object] = {}
