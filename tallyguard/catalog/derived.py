@@ -9,16 +9,16 @@ from tallyguard.catalog.base import table, tx
 from tallyguard.session import scratch_path
 
 _BANKS = ["axis", "hdfc", "icici", "sbi", "kotak", "yes", "paytm", "gpay"]
+# own samples: for each keyword rule one text that meets it, and some that meet none
 _NARRATIONS = [
-    "UPI/SWIGGY.M#@OKICICI/Order", "UPI/ELECTRICITY.BOARD@OKHDFC/Bill",
-    "UPI/AMAZON.PAY@AMAOFICS/Order", "UPI/IRCTC@SBIN/PNR #", "UPI/CASH.AGENT.#@YESB/Settlement",
-    "NEFT/SALARY MARCH/EMPLOYER LTD", "POS Rummy Circle #", "Wallet agent transfer",
-    "UPI/DECATHLON@HDFC/Sports Items", "--- !!",
+    "UPI/ZOMATO#@OKAXIS/dinner", "UPI/WATER.BOARD@OKSBI/march", "UPI/FLIPKART.SHOP@YBL/parcel",
+    "UPI/UBER.RIDES@HDFC/trip #", "UPI/KIRAN.#@YESB/thanks", "RTGS/RENT/FLAT 12",
+    "POS bet shop #", "to agent # by wallet", "UPI/BOOKS@ICICI/novels", "?? ..",
 ]
-_MERCHANTS = ["McDonald''s", "Apple Store", "Wire Transfer", "Crypto Exchange", "", "T-Mobile"]
+_MERCHANTS = ["Joe''s Diner", "Orchard Phones", "Bank Wire", "Coin Exchange", "", "B-Tel"]
 _CATEGORIES = [
-    ["Food and Drink", "Fast Food"], ["Service", "Phone"], ["Transfer", "Digital Purchase"],
-    ["Recreation", "Gambling"], ["Service", "Internet Services"], ["Shops"],
+    ["Food and Drink", "Restaurants"], ["Service", "Cable"], ["Transfer", "Third Party"],
+    ["Recreation", "Gyms"], ["Service", "Telecommunication Services"], ["Travel"],
 ]
 _CHANNELS = ["in_store", "online", "other"]
 

@@ -198,8 +198,8 @@ def _text(template: str) -> str:
 
 
 _ALERT = f"""alerts AS (SELECT transaction_id, CASE WHEN verdict = 'BLOCK'
-  THEN printf('{_text(BLOCK_TEXT)}', amount::VARCHAR, coalesce(m, 'Unknown Merchant'), 'risk rule')
-  ELSE printf('{_text(FLAG_TEXT)}', amount::VARCHAR, coalesce(m, 'Unknown Merchant'), 'risk rule') END AS text
+  THEN printf('{_text(BLOCK_TEXT)}', amount::VARCHAR, coalesce(m, 'an unnamed receiver'), 'risk rule')
+  ELSE printf('{_text(FLAG_TEXT)}', amount::VARCHAR, coalesce(m, 'an unnamed receiver'), 'risk rule') END AS text
   FROM (SELECT *, CASE WHEN seq % 5 <> 0 THEN receiver_id END AS m FROM inc WHERE verdict <> 'ALLOW'))"""
 
 
@@ -226,11 +226,11 @@ def p35(spark, sf):
 @query(
     "p36_evidence_record",
     """SELECT transaction_id || '-' || verdict AS case_ref,
-      CASE WHEN verdict = 'BLOCK' THEN 'BLOCKED — HIGH RISK' ELSE 'FLAGGED — REVIEW REQUIRED' END AS classification,
+      CASE WHEN verdict = 'BLOCK' THEN 'blocked' ELSE 'held for review' END AS classification,
       strftime(ts + INTERVAL 330 MINUTE, '%d/%m/%Y %H:%M:%S') AS time_ist,
-      'Graph Reason: ' || CASE WHEN seq % 2 = 0 THEN 'fan_in' ELSE 'n/a' END AS signal_4,
-      'ML + topology fused score: ' || printf('%.2f', risk_score) || ' (supervised ' || printf('%.2f', risk_score) ||
-      ', anomaly ' || printf('%.2f', a) || ', graph delta +' || printf('%.2f', delta) || ')' AS signal_5
+      'graph: ' || CASE WHEN seq % 2 = 0 THEN 'fan_in' ELSE 'n/a' END AS signal_4,
+      'risk ' || printf('%.2f', risk_score) || ' from model ' || printf('%.2f', risk_score) ||
+      ', anomaly ' || printf('%.2f', a) || ', graph ' || printf('%.2f', delta) AS signal_5
     FROM inc WHERE verdict <> 'ALLOW'""",
     SCORED + ", " + _INC,
 )

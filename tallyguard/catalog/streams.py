@@ -45,14 +45,10 @@ def _features(spark, sf):
 
 
 def _feature_table(spark, sf):
-    """The drained feature stream, run once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _DRAINED:
-        _DRAINED[key] = run_to_table(_features(spark, sf), "features")
-    return _DRAINED[key]
+    """The drained feature stream."""
+    return run_to_table(_features(spark, sf), "features")
 
 
-_DRAINED: dict[tuple[str, str], DataFrame] = {}
 _CTES = (
     TIES
     + ", "
@@ -226,11 +222,23 @@ def t10(spark, sf):
     return counts.where(F.col("batch") == newest).select("verdict", "n")
 
 
-@query("t10_verdict_minutes")
+@query(
+    "t10_verdict_minutes",
+    f"""SELECT epoch_us(date_trunc('minute', ts)) AS start_us, verdict, count(*) AS n
+    FROM ({_VERDICTS}, ts FROM scored) GROUP BY ALL""",
+    SCORED,
+)
 def t10_minutes(spark, sf):
     rows = scored(spark, sf).select("us", "ts", verdict_band("p").alias("verdict"))
-    out = run_to_table(verdict_minutes(_replayed(rows, "minutes")), "minutes")
-    return out.select(F.unix_micros("window.start").alias("start_us"), "verdict", "n")
+    out = scratch_path(spark, "verdict-minutes")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_batches(verdict_minutes(_replayed(rows, "minutes")), "minutes", keep, "complete")
+    counts = spark.read.parquet(out)
+    newest = counts.select(F.max("batch").alias("b")).scalar()
+    return counts.where(F.col("batch") == newest).select(F.unix_micros("window.start").alias("start_us"), "verdict", "n")
 
 
 @query(

@@ -19,18 +19,9 @@ LANGUAGES = [
     ("kn", "Kannada", "kn-IN-SapnaNeural"),
 ]
 
-# --- fixed values: alert wording (product name left to the caller) -----------
-BLOCK_TEXT = (
-    "Warning: {brand} Alert. Transaction of %s rupees to %s has been BLOCKED. Reason: %s. "
-    "This may constitute an offence under the Information Technology Act 2000 section 66D, "
-    "and Bharatiya Nyaya Sanhita section 318 subsection 4. "
-    "Please contact your bank's fraud desk immediately."
-)
-FLAG_TEXT = (
-    "Notice: {brand} Alert. Transaction of %s rupees to %s has been flagged for review. "
-    "Reason: %s. Your bank will verify this transaction before proceeding. "
-    "No action is required from you at this time."
-)
+# wording of the alerts; %s: amount, receiver, reason
+BLOCK_TEXT = "{brand}: we stopped a payment of %s to %s because of this finding: %s. Please call your bank if you made it yourself."
+FLAG_TEXT = "{brand}: a payment of %s to %s is on hold until your bank has looked at this finding: %s."
 
 
 def alert_text(
@@ -39,8 +30,8 @@ def alert_text(
     """Narration of a verdict; missing fields fall back to neutral defaults."""
     parts = [
         F.coalesce(F.col(amount).cast("string"), F.lit("0")),
-        F.coalesce(F.col(merchant), F.lit("Unknown Merchant")),
-        F.coalesce(F.col(reason), F.lit("suspicious activity detected")),
+        F.coalesce(F.col(merchant), F.lit("an unnamed receiver")),
+        F.coalesce(F.col(reason), F.lit("unusual activity")),
     ]
     blocked = F.upper(F.coalesce(F.col(verdict), F.lit("FLAG"))) == "BLOCK"
     return F.when(
@@ -53,7 +44,7 @@ def incidents(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("verdict").isin("FLAG", "BLOCK")).withColumn(
         "reasons",
         F.array(
-            F.lit("Captured from live transaction feed"),
+            F.lit("Source=scored feed"),
             F.concat(F.lit("Category="), F.col("merchant_category")),
             F.concat(F.lit("Risk="), fixed_text(F.col("risk_score"), 2, "up")),
         ),
@@ -75,28 +66,27 @@ def evidence_record(df: DataFrame) -> DataFrame:
         F.coalesce(F.col(c), F.lit(0.0)) for c in ("lgbm_score", "anomaly_score", "graph_delta")
     )
     signals = F.array(
-        F.coalesce(reason[0], F.lit("Off-hours transaction signal observed")),
-        F.coalesce(reason[1], F.lit("High-risk amount/device pattern detected")),
-        F.coalesce(reason[2], F.lit("Device novelty and topology checks triggered")),
-        F.concat(F.lit("Graph Reason: "), F.coalesce(F.col("graph_reason"), F.lit("n/a"))),
+        F.coalesce(reason[0], F.lit("no first reason recorded")),
+        F.coalesce(reason[1], F.lit("no second reason recorded")),
+        F.coalesce(reason[2], F.lit("no third reason recorded")),
+        F.concat(F.lit("graph: "), F.coalesce(F.col("graph_reason"), F.lit("n/a"))),
         F.format_string(
-            "ML + topology fused score: %s (supervised %s, anomaly %s, graph delta +%s)",
+            "risk %s from model %s, anomaly %s, graph %s",
             *[fixed_text(x, 2, "up") for x in (risk, p, a, d)],
         ),
         F.concat(
-            F.lit('Merchant category "'),
+            F.lit("category: "),
             F.col("merchant_category"),
-            F.lit('" evaluated in live policy path'),
         ),
     )
     return df.select(
         F.concat_ws("-", "transaction_id", "verdict").alias("case_ref"),
-        F.when(blocked, "BLOCKED — HIGH RISK")
-        .otherwise("FLAGGED — REVIEW REQUIRED")
+        F.when(blocked, "blocked")
+        .otherwise("held for review")
         .alias("classification"),
-        F.when(blocked, "Immediate preventive action taken — transaction blocked by policy.")
+        F.when(blocked, "payment stopped")
         .otherwise(
-            "Transaction flagged for manual review and customer confirmation before escalation."
+            "ask the payer, then decide"
         )
         .alias("action"),
         ist_time("ts").alias("time_ist"),

@@ -34,11 +34,11 @@ def last_edges(
 ) -> DataFrame:
     """The newest ``size`` edges (the sliding window of the graph).
 
-    On large tables the time of the oldest wanted edge is found first, so that
-    only about ``size`` rows reach the final ordering instead of ``size`` from
-    every partition.
+    Edges without a time are the oldest. On large tables the time of the oldest wanted
+    edge is found first, so that only about ``size`` rows reach the final ordering
+    instead of ``size`` from every partition.
     """
-    n = edges.count()
+    n = edges.where(F.col(us).isNotNull()).count()
     if n > max(size, budget(edges.sparkSession, ROWS_PER_CHUNK)):
         oldest = order_statistics(edges, us, [n - size])[n - size][0]
         edges = edges.where(F.col(us) >= F.lit(oldest))

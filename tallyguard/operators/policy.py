@@ -38,7 +38,8 @@ def policy_at(rows: DataFrame, versions: DataFrame, us: str = "us") -> DataFrame
     """Add the policy columns in force at each row's time (null before the first).
 
     ``versions`` has ``us`` and the policy columns. Each version is spread over
-    the days it covers, so the lookup is an equi-join on the day.
+    the days it covers, so the lookup is an equi-join on the day. Of versions of one
+    time the last in the order of the policy columns holds.
     """
     payload = [c for c in versions.columns if c != us]
     top = rows.agg(F.max(us)).scalar()
@@ -46,7 +47,7 @@ def policy_at(rows: DataFrame, versions: DataFrame, us: str = "us") -> DataFrame
     spans = versions.select(
         *payload,
         F.col(us).alias("_from"),
-        F.lead(us).over(Window.orderBy(us)).alias("_next"),
+        F.lead(us).over(Window.orderBy(us, *payload)).alias("_next"),
     ).withColumn("_to", F.coalesce(F.col("_next"), F.greatest(top, F.col("_from")) + 1))
     days = spans.where("_to > _from").withColumn(
         "_day",

@@ -35,11 +35,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder.
 
     ``spark.checkpoint.dir`` names that folder on a cluster. Only where it is
-    unset (tests, single machine) is a temporary folder chosen and recorded.
+    unset and the master is local is a temporary folder chosen and recorded.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("tallyguard.scratch", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="tallyguard-")
         spark.conf.set("tallyguard.scratch", base)

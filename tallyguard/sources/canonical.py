@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from tallyguard.functions.calendar import date_and_time, parse_timestamp, step_to_timestamp
 from tallyguard.schema import ALIASES, NUMERIC_OPTIONALS, OPTIONALS, REQUIRED
@@ -62,11 +62,17 @@ def coerce_types(
 ) -> DataFrame:
     """Typed canonical rows; rows without a readable timestamp are dropped.
 
+    Texts of digits only are whole-number times, whatever the column was called.
+
     ``dropped`` counts them (metric ``bad_timestamps``) without another pass.
     """
     if step is None:
         step = isinstance(df.schema["timestamp"].dataType, NumericType)
+    text = isinstance(df.schema["timestamp"].dataType, StringType)
     ts = step_to_timestamp("timestamp") if step else parse_timestamp("timestamp")
+    if text and not step:
+        whole = F.trim("timestamp").rlike("^[0-9]+$")
+        ts = F.when(whole, step_to_timestamp("timestamp")).otherwise(ts)
     typed = df.withColumn("ts", ts).drop("timestamp")
     if dropped is not None:
         typed = typed.observe(

@@ -128,8 +128,9 @@ def risk_cache_stream(reads: DataFrame, writes: DataFrame, key: str, ttl_s: int)
 
 
 # --- stateless and built-in stateful ---------------------------------------------
-def dedupe_stream(stream: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    return stream.withWatermark(ts, WATERMARK).dropDuplicatesWithinWatermark([key])
+def dedupe_stream(stream: DataFrame, key: str) -> DataFrame:
+    """First row of every key; keys are kept for good, so that no later repeat comes through."""
+    return stream.dropDuplicates([key])
 
 
 def merge_streams(*streams: DataFrame) -> DataFrame:
@@ -145,10 +146,9 @@ def verdict_count_stream(stream: DataFrame) -> DataFrame:
 
 
 def verdict_minutes(stream: DataFrame, ts: str = "ts", width: str = "1 minute") -> DataFrame:
-    """Count per verdict and tumbling window."""
+    """Count per verdict and tumbling window (update or complete mode)."""
     return (
-        stream.withWatermark(ts, WATERMARK)
-        .groupBy(F.window(ts, width), "verdict")
+        stream.groupBy(F.window(ts, width), "verdict")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
