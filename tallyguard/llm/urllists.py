@@ -72,12 +72,12 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     added = ("active", "list", "pattern", "valid_from", "blocked")
     rows = numbered(captures.drop(*added), "url-captures")
     spans = intervals(entries)
-    last = F.greatest(_slice("valid_from"), F.coalesce(_slice("valid_to"), F.lit(None).cast("int"), _slice("until")))
-    until = rows.agg(F.max("fetched_at").alias("until"))
-    spans = spans.join(F.broadcast(until)).withColumn("slice", F.explode(F.sequence(_slice("valid_from"), last)))
+    until = rows.agg(F.max(_slice("fetched_at"))).first()[0]
+    last = F.greatest(_slice("valid_from"), F.coalesce(_slice("valid_to"), F.lit(until).cast("int")))
+    spans = spans.withColumn("slice", F.explode(F.sequence(_slice("valid_from"), last)))
     asked = rows.select(ROW, "fetched_at", _slice("fetched_at").alias("slice"), F.explode(_keys(F.col("url"))).alias("k"))
     asked = asked.select(ROW, "fetched_at", "slice", "k.kind", "k.pattern")
-    hit = asked.join(spans.drop("until"), ["kind", "pattern", "slice"]).where(
+    hit = asked.join(spans, ["kind", "pattern", "slice"]).where(
         "fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to)"
     )
     rank = F.struct(F.length("pattern").alias("size"), (F.col("list") == "allow").alias("allow"), (-F.unix_micros("valid_from")).alias("age"))
