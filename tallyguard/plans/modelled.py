@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyguard.functions.scoring import anomaly_from_raw
 from tallyguard.operators.forest import score_forest
@@ -21,11 +20,3 @@ def score_with_models(features: DataFrame, model, forest: DataFrame) -> DataFram
     out = score_forest(out, forest).withColumn("anomaly_score", anomaly_from_raw("anomaly_raw"))
     flagged = topology_flags(out, "receiver_unique_senders_10m", "device_txn_count_10m")
     return verdicts(flagged, "lgbm_score", "anomaly_score").drop("anomaly_raw")
-
-
-def verdict_columns(df: DataFrame) -> DataFrame:
-    return df.select(
-        "seq",
-        *[F.round(c, 6).alias(c) for c in ("lgbm_score", "anomaly_score", "risk_score")],
-        "verdict",
-    )
