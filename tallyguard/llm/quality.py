@@ -239,7 +239,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             frame = pd.DataFrame(out, columns=["votes", "weak_label", "quality"])
             yield frame.astype({"votes": "Int32", "weak_label": "float64", "quality": "float64"})
 
-    scored = docs.withColumn("__q", F.pandas_udf(run, _SCORES)("text"))
+    # named nondeterministic so that a filter on the scores does not run it a second time
+    scored = docs.withColumn("__q", F.pandas_udf(run, _SCORES).asNondeterministic()("text"))
     return scored.withColumns({n: F.col(f"__q.{n}") for n in ("votes", "weak_label", "quality")}).drop("__q")
 
 
