@@ -209,5 +209,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([predict(t, model, known) for t in texts], columns=[f"p_{c}" for c in CATEGORIES], dtype="float64")
 
-    scored = docs.withColumn("__p", F.pandas_udf(run, _SCORES)("text"))
+    # named nondeterministic so that a filter on the scores does not run it a second time
+    scored = docs.withColumn("__p", F.pandas_udf(run, _SCORES).asNondeterministic()("text"))
     return scored.withColumns({f"p_{c}": F.col(f"__p.p_{c}") for c in CATEGORIES}).drop("__p")
