@@ -311,7 +311,7 @@ def test_reparameterised_questions(spark):
     docs = [(1, f"Before it. {same} and more words follow"), (2, "nothing to see here at all in this text of plain words"), (3, q.upper()), (4, None), (5, ""), (6, mixed), (7, broken), (7, same)]
     items = spark.createDataFrame([(1, q), (2, twice), (3, None), (4, "short one")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
-    assert got[1, 1].changed_slots >= 3 and (3, 1) not in got or True
+    assert got[1, 1].changed_slots >= 3
     assert (1, 1) in got and (7, 1) in got and (2, 1) not in got
     assert (6, 2) not in got  # Tom and 7 stand for several values
 
