@@ -30,8 +30,10 @@ from tallyguard.operators.profile import (
 )
 from tallyguard.operators.split import temporal_split
 from tallyguard.operators.trailing import trailing_windows
-from tallyguard.plans.manifest import build_manifest
+from tallyguard.plans.manifest import build_manifest, read_manifest, score_from_manifest, write_manifest
+from tallyguard.plans.score import rule_anomaly
 from tallyguard.schema import DAY
+from tallyguard.session import scratch_path
 
 _SPLIT = SCORED + """, sp AS (SELECT tx.*, CASE WHEN row_number() OVER (ORDER BY us, seq)
   <= cast(floor(0.8 * count(*) OVER ()) AS BIGINT) THEN 'train' ELSE 'holdout' END AS split FROM tx)"""
@@ -346,10 +348,46 @@ def t07(spark, sf):
 )
 def m09(spark, sf):
     train = temporal_split(tx(spark, sf)).where("split = 'train'")
-    doc = build_manifest(train, corridor_rate=0.2)
-    return doc.select(
+    manifest = build_manifest(train, corridor_rate=0.2)
+    types = manifest.fitted.codes.where("column = 'transaction_type'").agg(F.count(F.lit(1)).alias("n"))
+    corridors = manifest.fitted.corridors.agg(F.count(F.lit(1)).alias("n"))
+    return manifest.document.select(
         "n_features", r6("global_mean").alias("global_mean"), r6("global_std").alias("global_std"),
         F.col("verdicts.FLAG")[0].alias("flag_from"), F.col("verdicts.BLOCK")[0].alias("block_from"),
-        F.size("high_risk_corridors").cast("bigint").alias("corridors"),
-        F.size(F.col("ordinal_maps")["transaction_type"]).cast("bigint").alias("transaction_types"),
+        corridors.scalar().alias("corridors"), types.scalar().alias("transaction_types"),
+    )
+
+
+_STORED = """SELECT h.seq, coalesce(c.code, -1)::DOUBLE AS enc_transaction_type, (b.sender_bank IS NOT NULL)::INT::DOUBLE AS risky,
+  0.6 * least(1.0, amount / 400.0::DOUBLE) + 0.3 * least(1.0, abs((amount - m) / (s + 1e-9)) / 10.0) AS r
+  FROM (SELECT * FROM sp WHERE split = 'holdout') h,
+    (SELECT avg(amount) AS m, stddev_samp(amount) AS s FROM sp WHERE split = 'train')
+  LEFT JOIN (SELECT t, row_number() OVER (ORDER BY t) - 1 AS code FROM
+    (SELECT DISTINCT coalesce(transaction_type, 'nan') AS t FROM sp WHERE split = 'train')) c
+    ON c.t = coalesce(transaction_type, 'nan')
+  LEFT JOIN (SELECT sender_bank, receiver_bank FROM sp WHERE split = 'train' AND sender_bank IS NOT NULL
+    AND receiver_bank IS NOT NULL GROUP BY ALL HAVING sum(fraud_flag) / count(*)::DOUBLE > 0.2) b
+    ON b.sender_bank = h.sender_bank AND b.receiver_bank = h.receiver_bank"""
+
+
+@query(
+    "m10_score_from_manifest",
+    f"""SELECT seq, enc_transaction_type, risky, round(r, 6) AS risk_score, CASE WHEN round(r, 9) < 0.46 THEN 'ALLOW'
+      WHEN round(r, 9) >= 0.75 THEN 'BLOCK' ELSE 'FLAG' END AS verdict FROM ({_STORED})""",
+    _SPLIT,
+)
+def m10_manifest(spark, sf):
+    rows = temporal_split(tx(spark, sf))
+    path = scratch_path(spark, "manifest")
+    write_manifest(build_manifest(rows.where("split = 'train'"), corridor_rate=0.2), path)
+    out = score_from_manifest(
+        rows.where("split = 'holdout'"),
+        read_manifest(spark, path),
+        F.least(F.lit(1.0), F.col("amount") / 400.0),
+        rule_anomaly("amount_zscore_global"),
+        F.lit(False),
+    )
+    return out.select(
+        "seq", "enc_transaction_type", F.col("is_high_risk_corridor").alias("risky"),
+        r6("risk_score").alias("risk_score"), verdict_band(F.round("risk_score", 9)).alias("verdict"),
     )

@@ -25,7 +25,13 @@ from tallyguard.operators.metrics import (
 from tallyguard.operators.ratelimit import rate_limit
 from tallyguard.operators.selection import order_statistics
 from tallyguard.operators.split import temporal_split
-from tallyguard.plans.manifest import band_edges
+from tallyguard.plans.manifest import (
+    band_edges,
+    build_manifest,
+    read_manifest,
+    score_from_manifest,
+    write_manifest,
+)
 from tallyguard.schema import MICROS
 from tallyguard.sources.statements import normalise_plaid, normalise_setu
 
@@ -264,6 +270,32 @@ def test_selection_and_quantiles(spark):
     assert q["q50"] == ordered[250] and q["q00"] == ordered[0] and q["q100"] == ordered[500]
 
 
+def test_report_leaves_out_missing_scores(spark):
+    rows = [(i % 3 == 0, i / 200) for i in range(200)] + [(1, None), (0, None)]
+    df = spark.createDataFrame([(int(y), s) for y, s in rows], "fraud_flag int, score double").repartition(7)
+    report = holdout_report(df, 0.5).first()
+    assert (report["tp"], report["fp"]) == (33, 67) and report["tn"] + report["fn"] == 100
+    assert (report["q00"], report["q100"]) == (0.0, 199 / 200)
+    assert report["q50"] == pytest.approx(0.4975) and report["q99"] == pytest.approx(0.98505)
+    empty = holdout_report(df.where("score > 5")).first()
+    assert (empty["tp"], empty["roc_auc"], empty["q50"]) == (0, None, None)
+
+
+def test_manifest_read_back(spark, tmp_path):
+    rows = [(i, float(i), f"t{i % 3}", "d", None, f"b{i % 2}", "b0", int(i % 2)) for i in range(20)]
+    names = "seq bigint, amount double, transaction_type string, device_type string, network_type string"
+    df = spark.createDataFrame(rows, names + ", sender_bank string, receiver_bank string, fraud_flag int")
+    made = build_manifest(df, threshold=0.4, corridor_rate=0.2)
+    write_manifest(made, str(tmp_path / "m"))
+    back = read_manifest(spark, str(tmp_path / "m"))
+    assert back.document.first() == made.document.first()
+    codes = {(r["column"], r["category"]): r["code"] for r in back.fitted.codes.collect()}
+    assert codes["transaction_type", "t2"] == 2 and codes["network_type", "nan"] == 0
+    out = score_from_manifest(df, back, F.lit(0.6), F.lit(0.2), F.col("is_high_risk_corridor") == 1)
+    got = {r["seq"]: (r["enc_transaction_type"], round(r["risk_score"], 6), r["verdict"]) for r in out.collect()}
+    assert got[4] == (1.0, 0.42, "FLAG") and got[5] == (2.0, 0.75, "BLOCK")
+
+
 def test_temporal_split_with_ties(spark):
     rows = [(i, (i // 7) * 10) for i in range(50)]
     df = spark.createDataFrame(rows, "seq bigint, us bigint").repartition(5)
