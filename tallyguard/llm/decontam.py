@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyguard.session import settle
 
 WINDOW = 8
-LITERALS = 5  # tokens of an item's window that must not be placeholders
+LITERALS = 5  # literal tokens from which on an item's window is looked for with its slots open
 COVERAGE = 0.5  # share of an item's windows that a document must hold
 BROADCAST_WINDOWS = 1_000_000  # item windows joined in one pass (16 bytes each and their slots)
 UNITS = (
@@ -59,16 +59,15 @@ def _is_slot(code) -> Column:
     return code.isin(1, 2, 3)
 
 
-def _windows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Every window: keys, ``at`` (0-based), ``code``, and the token arrays it was cut from.
+def _coded(texts: DataFrame) -> DataFrame:
+    """With ``words``, ``codes`` (slots by type) and ``plain`` (every token as it reads)."""
+    plain = F.transform("words", lambda w: F.xxhash64(F.translate(w, "@_", "")))
+    return texts.withColumn("codes", _token_codes("words")).withColumn("plain", plain)
 
-    A text of fewer than ``WINDOW`` tokens has one window, all of it.
-    """
-    count = F.greatest(F.size("codes") - (WINDOW - 1), F.lit(1))
-    at = F.explode(F.when(F.size("codes") > 0, F.sequence(F.lit(0), count - 1))).alias("at")
-    rows = df.select(*keys, "words", "codes", at)
-    code = F.xxhash64(*[F.get("codes", F.col("at") + k) for k in range(WINDOW)])
-    return rows.withColumn("code", code)
+
+def _code(codes: str, length: int = WINDOW) -> Column:
+    """Code of the window at ``at``; tokens beyond the end of the text do not enter it."""
+    return F.xxhash64(*[F.get(codes, F.col("at") + k) for k in range(length)])
 
 
 def _slots() -> Column:
@@ -78,63 +77,114 @@ def _slots() -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """Windows of the benchmark: item_id, at, code, slots, and ``of``, windows of the item.
-
-    Windows with fewer than ``LITERALS`` literal tokens say too little and are left
-    out. Items of equal item_id and rows without text are handled as they come: equal
-    ids add their windows, null texts have none.
+    """Windows of the benchmark, one row per code to look for.
+
+    Columns: item_id, at, length, typed, code, slots, and ``of`` and ``of_typed``, the
+    item's windows and those of them with ``typed``. An item of fewer than ``WINDOW``
+    tokens has one window, all of it. Windows with at least ``LITERALS`` literal tokens
+    are looked for with their slots open (``typed``); the others, which say too little
+    for that, by their exact tokens. Items of equal item_id and rows without text are
+    handled as they come: equal ids add their windows, null texts have none.
     """
-    base = items.select("item_id", tokens("text").alias("words")).withColumn("codes", _token_codes("words"))
+    base = _coded(items.select("item_id", tokens("text").alias("words")))
+    n = F.size("codes")
+    at = F.explode(F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))))).alias("at")
+    rows = base.select("item_id", "words", "codes", "plain", F.least(n, F.lit(WINDOW)).alias("length"), at)
     own = F.slice("codes", F.col("at") + 1, WINDOW)
-    literals = F.size(F.filter(own, lambda c: ~_is_slot(c)))
-    rows = _windows(base, ["item_id"]).where(literals >= LITERALS).select("item_id", "at", "code", _slots().alias("slots"))
+    typed = F.size(F.filter(own, lambda c: ~_is_slot(c))) >= LITERALS
+    none = F.array().cast("array<string>")
+    keys = F.array(
+        F.when(typed, F.struct(_code("codes").alias("code"), _slots().alias("slots"))),
+        F.when(~typed, F.struct(_code("plain").alias("code"), none.alias("slots"))),
+    )
+    rows = rows.select("item_id", "at", "length", typed.alias("typed"), F.explode(keys).alias("k"))
+    rows = rows.where("k IS NOT NULL").select("item_id", "at", "length", "typed", "k.code", "k.slots")
     rows = rows.dropDuplicates(["item_id", "at", "code", "slots"])
-    n = rows.groupBy("item_id").agg(F.countDistinct("at").alias("of"))
-    return rows.alias("r").join(n.alias("n"), F.col("r.item_id").eqNullSafe(F.col("n.item_id"))).select("r.*", "of")
+    n = rows.groupBy("item_id").agg(
+        F.countDistinct("at").alias("of"), F.countDistinct(F.when(F.col("typed"), F.col("at"))).alias("of_typed")
+    )
+    return rows.alias("r").join(n.alias("n"), F.col("r.item_id").eqNullSafe(F.col("n.item_id"))).select("r.*", "of", "of_typed")
+
+
+def _document_windows(docs: DataFrame, short: list[int]) -> DataFrame:
+    """Codes of every window of eight tokens and of the lengths ``short``, typed and plain."""
+    base = _coded(docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), tokens("text").alias("words")))
+    n = F.size("codes")
+    at = F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("at")
+    rows = base.select("doc_id", "doc_hash", "words", "codes", "plain", at)
+    codes = []
+    for length in [*short, WINDOW]:
+        whole, typed, plain = F.col("at") + length <= n, _code("codes", length), _code("plain", length)
+        codes += [F.when(whole, typed), F.when(whole & (plain != typed), plain)]
+    return rows.select("doc_id", "doc_hash", "words", "at", F.explode(F.array(*codes)).alias("code"))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Matching windows: doc_id, doc_hash, item_id, of, item_at, diagonal, pairs.
+    """Matching windows: doc_id, doc_hash, item_id, of, of_typed, item_at, typed, diagonal, pairs.
 
     The item side is counted first and broadcast in blocks of at most
     ``BROADCAST_WINDOWS`` windows by code, so documents are read once per block and
-    never shuffled, however large the benchmark is.
+    never shuffled, however large the benchmark is. ``pairs`` is null for windows
+    without slots.
     """
     side = settle(item_windows(items), "decontam-items")
     blocks = -(-side.count() // BROADCAST_WINDOWS) or 1
-    base = docs.select("doc_id", F.xxhash64("text").alias("doc_hash"), tokens("text").alias("words"))
-    rows = _windows(base.withColumn("codes", _token_codes("words")), ["doc_id", "doc_hash"])
-    side = side.select("item_id", "of", F.col("at").alias("item_at"), "code", F.col("slots").alias("item_slots"))
+    short = sorted(r.length for r in side.where(F.col("length") < WINDOW).select("length").distinct().collect())
+    rows = _document_windows(docs, short)
+    side = side.select(
+        "item_id", "of", "of_typed", "typed", F.col("at").alias("item_at"), "code", F.col("slots").alias("item_slots")
+    )
     found = None
     for b in range(blocks):
         part = side.where(F.pmod("code", F.lit(blocks)) == b) if blocks > 1 else side
+        own = F.slice(_slots(), 1, F.size("item_slots"))
         hit = rows.join(F.broadcast(part), "code").select(
-            "doc_id", "doc_hash", "item_id", "of", "item_at",
+            "doc_id", "doc_hash", "item_id", "of", "of_typed", "item_at", "typed",
             (F.col("at") - F.col("item_at")).alias("diagonal"),
-            F.when(F.size("item_slots") > 0, F.arrays_zip(F.col("item_slots").alias("was"), _slots().alias("now"))).alias("pairs"),
+            F.when(F.size("item_slots") > 0, F.arrays_zip(F.col("item_slots").alias("was"), own.alias("now"))).alias("pairs"),
         )
         found = hit if found is None else found.unionByName(hit)
     return found
 
 
+def _pairs(entries) -> Column:
+    """Distinct pairs of slot values of matching windows."""
+    return F.array_distinct(F.flatten(F.filter(F.transform(entries, lambda e: e["pairs"]), lambda p: p.isNotNull())))
+
+
+def _consistent(entries) -> Column:
+    """Whether each value of the item stands for one value of the document."""
+    pairs = _pairs(entries)
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["was"])))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents that hold a benchmark item, one row per document and item.
 
+    A document holds an item with ``coverage`` of all its windows, or of those looked
+    for with open slots. Windows without slots need no consistent alignment.
+
     Columns: doc_id, doc_hash (of the text, to tell rows of equal doc_id apart),
     item_id, windows (distinct windows of the item found with consistent slots),
-    item_windows, coverage, changed_slots (slots whose value differs from the item's).
-    Null texts and texts without tokens never match. Repeated rows count once.
+    item_windows, coverage (the larger of the two shares), changed_slots (slots whose
+    value differs from the item's). Null texts and texts without tokens never match.
+    Repeated rows count once.
     """
-    along = matches(docs, items).groupBy("doc_id", "doc_hash", "item_id", "of", "diagonal").agg(
-        F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs")
+    along = matches(docs, items).groupBy("doc_id", "doc_hash", "item_id", "of", "of_typed", "diagonal").agg(
+        F.collect_set(F.struct(F.col("item_at").alias("at"), "typed", "pairs")).alias("entries")
+    )
+    fixed = F.filter("entries", lambda e: e["pairs"].isNull())
+    along = along.withColumn("entries", F.when(_consistent(F.col("entries")), F.col("entries")).otherwise(fixed))
+    changed = F.size(F.filter(_pairs(F.col("entries")), lambda p: p["was"] != p["now"]))
+    good = along.select(
+        "doc_id", "doc_hash", "item_id", "of", "of_typed", F.explode("entries").alias("e"), changed.alias("changed")
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["was"])))
-    changed = F.size(F.filter("pairs", lambda p: p["was"] != p["now"]))
-    good = along.where(consistent).select("doc_id", "doc_hash", "item_id", "of", F.explode("at").alias("at"), changed.alias("changed"))
-    by_item = good.groupBy("doc_id", "doc_hash", "item_id", "of").agg(
-        F.countDistinct("at").alias("windows"), F.max("changed").alias("changed_slots")
+    by_item = good.groupBy("doc_id", "doc_hash", "item_id", "of", "of_typed").agg(
+        F.countDistinct("e.at").alias("windows"),
+        F.countDistinct(F.when(F.col("e.typed"), F.col("e.at"))).alias("windows_typed"),
+        F.max("changed").alias("changed_slots"),
     )
-    share = F.col("windows") / F.col("of")
+    share = F.greatest(F.col("windows") / F.col("of"), F.try_divide("windows_typed", "of_typed"))
     return by_item.where(share >= coverage).select(
         "doc_id", "doc_hash", "item_id", "windows", F.col("of").alias("item_windows"), share.alias("coverage"), "changed_slots"
     )

@@ -316,6 +316,23 @@ def test_reparameterised_questions(spark):
     assert (6, 2) not in got  # Tom and 7 stand for several values
 
 
+def held(spark, docs, items):
+    """(doc, item) pairs found, numbered from 0."""
+    frames = [spark.createDataFrame(list(enumerate(x)), f"{name} bigint, text string") for name, x in (("doc_id", docs), ("item_id", items))]
+    return {(r.doc_id, r.item_id) for r in decontam.contaminated(*frames).collect()}
+
+
+def test_short_items_and_few_literals(spark):
+    items = [
+        "What is 12 times 7?",
+        "Compute 12 + 7 * 3 - 4 / 2 + 18 - 5 and 3 * 9",
+        "Did Anna, Ben, Carl, Dora and Emil meet Fred in Rome, Oslo, Paris and Bern?",
+        "who wrote the novel about the whale",
+    ]
+    docs = [f"some words come first. {i} And some words come after it" for i in items] + ["who wrote the novel about the sea and what is 13 times 7"]
+    assert held(spark, docs, items) == {(i, i) for i in range(4)}
+
+
 def test_decontamination_stage(spark):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")
