@@ -10,7 +10,7 @@ document. DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyguard.session import settle
@@ -18,6 +18,7 @@ from tallyguard.session import settle
 WINDOW = 8
 LITERALS = 5  # literal tokens from which on an item's window is looked for with its slots open
 COVERAGE = 0.5  # share of an item's windows that a document must hold
+RUN = 13  # tokens of an item in one piece that are a match whatever their share
 BROADCAST_WINDOWS = 1_000_000  # item windows joined in one pass (16 bytes each and their slots)
 UNITS = (
     "kg|mg|g|km|cm|mm|m|mi|ft|ml|l|mph|kmh|s|ms|min|h|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|v|usd|eur|gbp"
@@ -158,11 +159,25 @@ def _consistent(entries) -> Column:
     return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["was"])))
 
 
+def _changed(entries) -> Column:
+    return F.size(F.filter(_pairs(entries), lambda p: p["was"] != p["now"]))
+
+
+def _has_run(entries) -> Column:
+    """Whether consecutive windows cover ``RUN`` tokens."""
+    at = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["at"])))
+    steps = RUN - WINDOW
+    later = F.slice(at, steps + 1, F.size(at))
+    return F.exists(F.zip_with(at, later, lambda x, y: F.coalesce(y == x + steps, F.lit(False))), lambda b: b)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents that hold a benchmark item, one row per document and item.
 
     A document holds an item with ``coverage`` of all its windows, or of those looked
-    for with open slots. Windows without slots need no consistent alignment.
+    for with open slots, or with ``RUN`` tokens in one piece. Slots must be consistent
+    along the diagonal, for a piece along the whole of its run; windows without slots
+    need no consistent alignment.
 
     Columns: doc_id, doc_hash (of the text, to tell rows of equal doc_id apart),
     item_id, windows (distinct windows of the item found with consistent slots),
@@ -170,22 +185,32 @@ def contaminated(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE)
     value differs from the item's). Null texts and texts without tokens never match.
     Repeated rows count once.
     """
-    along = matches(docs, items).groupBy("doc_id", "doc_hash", "item_id", "of", "of_typed", "diagonal").agg(
+    keys = ["doc_id", "doc_hash", "item_id", "of", "of_typed"]
+    along = matches(docs, items).groupBy(*keys, "diagonal").agg(
         F.collect_set(F.struct(F.col("item_at").alias("at"), "typed", "pairs")).alias("entries")
     )
-    fixed = F.filter("entries", lambda e: e["pairs"].isNull())
-    along = along.withColumn("entries", F.when(_consistent(F.col("entries")), F.col("entries")).otherwise(fixed))
-    changed = F.size(F.filter(_pairs(F.col("entries")), lambda p: p["was"] != p["now"]))
-    good = along.select(
-        "doc_id", "doc_hash", "item_id", "of", "of_typed", F.explode("entries").alias("e"), changed.alias("changed")
+    along = along.select(
+        *keys, "diagonal", _consistent("entries").alias("even"), _changed("entries").alias("changed"),
+        F.explode("entries").alias("e"),
     )
-    by_item = good.groupBy("doc_id", "doc_hash", "item_id", "of", "of_typed").agg(
+    order = Window.partitionBy(*keys, "diagonal").orderBy("e.at")
+    pieces = along.withColumn("piece", F.col("e.at") - F.dense_rank().over(order))
+    pieces = pieces.groupBy(*keys, "diagonal", "even", "changed", "piece").agg(F.collect_set("e").alias("entries"))
+    fixed = F.filter("entries", lambda e: e["pairs"].isNull())
+    held = F.when(F.col("even") | _consistent("entries"), F.col("entries")).otherwise(fixed)
+    pieces = pieces.withColumn("held", held).withColumn("run", _has_run("held"))
+    counted = F.when(F.col("even") | F.col("run"), F.col("held")).otherwise(fixed)
+    pieces = pieces.withColumn("counted", counted)
+    changed = F.when(F.col("even"), F.col("changed")).otherwise(_changed("counted"))
+    good = pieces.select(*keys, "run", F.explode("counted").alias("e"), changed.alias("changed"))
+    by_item = good.groupBy(*keys).agg(
         F.countDistinct("e.at").alias("windows"),
         F.countDistinct(F.when(F.col("e.typed"), F.col("e.at"))).alias("windows_typed"),
         F.max("changed").alias("changed_slots"),
+        F.max("run").alias("run"),
     )
     share = F.greatest(F.col("windows") / F.col("of"), F.try_divide("windows_typed", "of_typed"))
-    return by_item.where(share >= coverage).select(
+    return by_item.where((share >= coverage) | F.col("run")).select(
         "doc_id", "doc_hash", "item_id", "windows", F.col("of").alias("item_windows"), share.alias("coverage"), "changed_slots"
     )
 

@@ -333,6 +333,16 @@ def test_short_items_and_few_literals(spark):
     assert held(spark, docs, items) == {(i, i) for i in range(4)}
 
 
+def test_long_passage_of_a_longer_item(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    item = " ".join(words)
+    slots = " ".join(words[:20] + ["3", "Anna"] + words[20:100] + ["3"] + words[100:])
+    docs = [" ".join(words[50:63]), " ".join(words[50:62]), "x " + " ".join(words[20:50]) + " y " + " ".join(words[120:130])]
+    docs += ["x " + slots.replace(" 3 Anna", " 4 Berta")]  # 3 stands for 4 and for 3, the words between are one piece
+    assert held(spark, docs[:3], [item]) == {(0, 0), (2, 0)}
+    assert held(spark, docs[3:], [slots]) == {(0, 0)}
+
+
 def test_decontamination_stage(spark):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")
