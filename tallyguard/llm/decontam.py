@@ -3,7 +3,8 @@
 Words become tokens; numbers, units after numbers and capitalised words inside a
 sentence (not words all in capitals) become typed placeholders. Windows of eight tokens of each document are
 hash-joined with the windows of the benchmark items, so a question whose names and
-numbers were changed still matches. The slots behind the placeholders are compared:
+numbers were changed still matches. Windows are joined by their plain lower-case tokens
+too: a copy in other letter case has no names to tell. The slots behind the placeholders are compared:
 along one alignment, an item's value must always stand for the same value of the
 document. DataFrame functions only.
 """
@@ -83,8 +84,8 @@ def item_windows(items: DataFrame) -> DataFrame:
     Columns: item_id, at, length, typed, code, slots, and ``of`` and ``of_typed``, the
     item's windows and those of them with ``typed``. An item of fewer than ``WINDOW``
     tokens has one window, all of it. Windows with at least ``LITERALS`` literal tokens
-    are looked for with their slots open (``typed``); the others, which say too little
-    for that, by their exact tokens. Items of equal item_id and rows without text are
+    are looked for with their slots open (``typed``); every window is also looked for by
+    its exact tokens in any letter case, as names are told by their case. Items of equal item_id and rows without text are
     handled as they come: equal ids add their windows, null texts have none.
     """
     base = _coded(items.select("item_id", tokens("text").alias("words")))
@@ -96,7 +97,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     keys = F.array(
         F.when(typed, F.struct(_code("codes").alias("code"), _slots().alias("slots"))),
-        F.when(~typed, F.struct(_code("plain").alias("code"), none.alias("slots"))),
+        F.when(~typed | (F.size(_slots()) > 0), F.struct(_code("plain").alias("code"), none.alias("slots"))),
     )
     rows = rows.select("item_id", "at", "length", typed.alias("typed"), F.explode(keys).alias("k"))
     rows = rows.where("k IS NOT NULL").select("item_id", "at", "length", "typed", "k.code", "k.slots")

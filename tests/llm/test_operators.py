@@ -343,6 +343,13 @@ def test_long_passage_of_a_longer_item(spark):
     assert held(spark, docs[3:], [slots]) == {(0, 0)}
 
 
+def test_copies_in_other_letter_case(spark):
+    q = "A train leaves the station of Springfield at 12.5 km per hour and meets Alice after 40 minutes of steady travel near the river bridge"
+    eight = "What makes old iron gates rust so quickly"
+    docs = [q.lower(), q.upper(), q.title(), f"They asked him What{eight[4:]} in rain", f"then {eight.lower()} in rain"]
+    assert held(spark, docs, [q, eight]) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1)}
+
+
 def test_decontamination_stage(spark):
     docs = odd_docs(spark)
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id bigint, text string")
