@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyguard.catalog.base import EDGES, PAY, edges, payments, query, r6
 from tallyguard.operators.graph import (
+    WINDOW_EDGES,
     cycle_events,
     degrees,
     fan_in,
@@ -21,7 +22,7 @@ from tallyguard.operators.profile import union_all
 from tallyguard.plans.graph_risk import window_risk
 from tallyguard.session import settle
 
-WINDOW = 300
+WINDOW = WINDOW_EDGES
 
 _DEG = """, deg AS (SELECT coalesce(o.node, i.node) AS node, coalesce(out_deg, 0) AS out_deg,
   coalesce(in_deg, 0) AS in_deg

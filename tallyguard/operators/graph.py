@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyguard.functions.rounding import fixed_text, round_exact
 from tallyguard.operators.selection import order_statistics
 from tallyguard.operators.skew import ROWS_PER_CHUNK, budget
+from tallyguard.session import settle
 
 # --- fixed values: detector thresholds and base contributions ---------------
 WINDOW_EDGES = 5000
@@ -98,7 +99,9 @@ def simple_cycles(edges: DataFrame, max_length: int = CYCLE_MAX) -> DataFrame:
     """Each simple cycle of 2..max_length nodes once, as ``path`` from its smallest node.
 
     Edges whose end has no way on, or whose start has no way in, are trimmed
-    first; a cycle cannot use them. The edge side comes from a bounded window.
+    first; a cycle cannot use them. The rest is written once, and each cycle is joined
+    from a way out of its start and a shorter way back. The edge side comes from a
+    bounded window.
     """
     pairs = edges.select("src", "dst").where("src <> dst").distinct()
     for _ in range(2):
@@ -107,24 +110,31 @@ def simple_cycles(edges: DataFrame, max_length: int = CYCLE_MAX) -> DataFrame:
         pairs = pairs.join(sources, "dst", "left_semi").join(targets, "src", "left_semi").select(
             "src", "dst"
         )
+    pairs = settle(pairs, "cycle-pairs")
     step = pairs.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
-    paths = pairs.where("src < dst").select(
+    out = [pairs.where("src < dst").select(
         F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("path")
-    )
+    )]
+    back = [pairs.where("src > dst").select(
+        F.col("dst").alias("start"), F.col("src").alias("at"), F.slice(F.array("src"), 1, 0).alias("rest")
+    )]
+    while len(out) < (max_length + 1) // 2:
+        out.append(
+            out[-1].join(step, F.col("at") == F.col("_from"))
+            .where((F.col("_to") > F.col("start")) & ~F.array_contains("path", F.col("_to")))
+            .select("start", F.col("_to").alias("at"), F.concat("path", F.array("_to")).alias("path"))
+        )
+    while len(back) < max_length // 2:
+        back.append(
+            back[-1].join(step, F.col("at") == F.col("_to"))
+            .where((F.col("_from") > F.col("start")) & ~F.array_contains("rest", F.col("_from")))
+            .select("start", F.col("_from").alias("at"), F.concat(F.array("at"), "rest").alias("rest"))
+        )
     found = []
     for length in range(2, max_length + 1):
-        closing = step.select(F.col("_from").alias("at"), F.col("_to").alias("start"))
-        found.append(paths.join(closing, ["at", "start"], "left_semi").select("path"))
-        if length < max_length:
-            paths = (
-                paths.join(step, F.col("at") == F.col("_from"))
-                .where((F.col("_to") > F.col("start")) & ~F.array_contains("path", F.col("_to")))
-                .select(
-                    "start",
-                    F.col("_to").alias("at"),
-                    F.concat("path", F.array("_to")).alias("path"),
-                )
-            )
+        ahead, home = out[(length + 1) // 2 - 1], back[length // 2 - 1]
+        both = ahead.join(home, ["start", "at"]).where(~F.arrays_overlap("path", "rest"))
+        found.append(both.select(F.concat("path", "rest").alias("path")))
     return reduce(DataFrame.unionByName, found)
 
 

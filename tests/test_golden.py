@@ -3,11 +3,15 @@
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
+from conftest import SF
+from tallyguard.catalog import base
 from tallyguard.functions import scoring
 from tallyguard.functions.identity import first_filled, hash_id, mask_vpa
 from tallyguard.functions.rounding import fixed_text, round_exact
 from tallyguard.operators.asof import cache_outcomes, last_update, risk_delta_lookup
 from tallyguard.operators.graph import (
+    WINDOW_EDGES,
     degrees,
     detections,
     graph_stats,
@@ -58,6 +62,14 @@ def test_seed_graph(spark):
     }
 
 
+def test_graph_queries_see_the_whole_window(spark):
+    rows = base.edges(spark, SF).where("us IS NOT NULL").select("src", "dst").collect()
+    assert 300 < len(rows) <= WINDOW_EDGES
+    pairs = {(r["src"], r["dst"]) for r in rows if r["src"] != r["dst"]}
+    got = {r["n"]: r["cycles"] for r in queries()["j06_edge_self_join"](spark, SF).collect()}
+    assert got[2] == sum((b, a) in pairs for a, b in pairs) / 2
+
+
 def test_cycles_equal_depth_first_search(spark):
     import random
 
