@@ -9,6 +9,7 @@ from tallyguard.functions.alerts import (
     BLOCK_TEXT,
     FLAG_TEXT,
     LANGUAGES,
+    SOURCE_REASON,
     alert_text,
     evidence_record,
     incidents,
@@ -157,7 +158,7 @@ def _verdict_rows(spark, sf):
 
 @query(
     "p30_incident_filter",
-    """SELECT transaction_id, verdict, risk_score, 'Captured from live transaction feed; Category=' || merchant_category
+    f"""SELECT transaction_id, verdict, risk_score, '{SOURCE_REASON}; Category=' || merchant_category
       || '; Risk=' || printf('%.2f', risk_score) AS reasons FROM inc WHERE verdict IN ('FLAG', 'BLOCK')""",
     SCORED + ", " + _INC,
 )

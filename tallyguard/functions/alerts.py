@@ -21,6 +21,7 @@ LANGUAGES = [
 
 # wording of the alerts; %s: amount, receiver, reason
 BLOCK_TEXT = "{brand}: we stopped a payment of %s to %s because of this finding: %s. Please call your bank if you made it yourself."
+SOURCE_REASON = "Source=scored feed"  # first reason of every incident
 FLAG_TEXT = "{brand}: a payment of %s to %s is on hold until your bank has looked at this finding: %s."
 
 
@@ -44,7 +45,7 @@ def incidents(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("verdict").isin("FLAG", "BLOCK")).withColumn(
         "reasons",
         F.array(
-            F.lit("Source=scored feed"),
+            F.lit(SOURCE_REASON),
             F.concat(F.lit("Category="), F.col("merchant_category")),
             F.concat(F.lit("Risk="), fixed_text(F.col("risk_score"), 2, "up")),
         ),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,9 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+_open_scopes: list[list[str]] = []
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a reused intermediate to the shared folder and read it back.
 
@@ -55,5 +60,30 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     executor does not lose it.
     """
     path = scratch_path(df.sparkSession, label)
+    for scope in _open_scopes:
+        scope.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``settle`` writes inside the block when the block ends.
+
+    Only for a block that has written its result elsewhere: tables settled inside
+    cannot be read afterwards. Folders go through the file system of their path.
+    """
+    scope: list[str] = []
+    _open_scopes.append(scope)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(scope)
+        for path in scope:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's scratch space, wherever it is stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
