@@ -34,7 +34,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     seen = None
     while True:
         edges = settle(_stars(_stars(edges, True), False), "stars")
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first()
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
