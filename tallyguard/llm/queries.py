@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with SQL where it can express them."""
+"""Registered queries of the operators, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyguard.llm import chat, decontam, lzfinger, mixing, neardup, quality, sharding, tokens, toxicity, urllists
+from tallyguard.llm import align, chat, decontam, lzfinger, mixing, neardup, quality, sharding, tokens, toxicity, urllists
 from tallyguard.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,13 @@ def op10_template_decontam(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a benchmark item, verbatim or with other parameters."""
     found = decontam.contaminated(_table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", "windows", "item_windows", "coverage", "changed_slots")
+
+
+@_query("op11_fragment_align")
+def op11_fragment_align(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers, with corpus-wide pair counts."""
+    import public_tokenizers as files
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    aligned = align.align(docs, files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
