@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyguard.llm import align, chat, decontam, lzfinger, mixing, neardup, quality, sharding, tokens, toxicity, urllists
+from tallyguard.llm import align, chat, decontam, lzfinger, mixing, neardup, packing, quality, sharding, tokens, toxicity, urllists, variants
 from tallyguard.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,18 @@ def op11_fragment_align(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     aligned = align.align(docs, files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"), digest=True)
     return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@_query("op12_trie_variants")
+def op12_trie_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of the documents, their near words, and the forms they are variants of."""
+    return variants.variant_groups(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@_query("op13_histogram_pack")
+def op13_histogram_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of every document and their places in packed sequences."""
+    import public_tokenizers
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))

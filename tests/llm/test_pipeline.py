@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_registry():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries())
 
 
