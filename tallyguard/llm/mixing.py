@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.llm.order import ROW, numbered, positioned
+from tallyguard.llm.order import content_hash, located, positioned, rejoin
 from tallyguard.session import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -159,16 +159,18 @@ def cube_mix(
     seed: int = 17,
     chunk_rows: int = CHUNK_ROWS,
     reserve: int = RESERVE,
+    by: list[str] | None = None,
 ) -> DataFrame:
     """``rows`` (source, size and any others, read from files) with ``source_size``,
     ``target`` and ``copies``, the number of times the mix takes the row.
 
-    Rows are ordered within their source by a seeded hash of all columns, so the
-    outcome does not depend on how the input is partitioned. Null sources are one source; repeated rows are
+    Rows are ordered within their source by a seeded hash of the columns ``by`` (all
+    columns where not given), so the outcome does not depend on how the input is
+    partitioned. Null sources are one source; repeated rows are
     separate units; rows of a source without words are not taken.
     """
     kept = rows.columns
-    h = F.xxhash64(F.lit(seed), *kept)
+    h = F.xxhash64(F.lit(seed), *(by or kept))
     placed, _ = positioned(
         rows.withColumn("_h", h), [F.col("source").asc_nulls_last(), F.col("_h"), *[F.col(c) for c in kept]], "_p", "mix-rows"
     )
@@ -220,10 +222,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Pipeline stage form: the documents of the mix, repeated as often as it takes them.
 
     Needs ``text`` and ``source``; other columns pass through. Documents without words
-    follow the inclusion probability of their source like any other.
+    follow the inclusion probability of their source like any other. Copies are decided
+    on row names, sources and sizes alone; every text moves once, to its decision, and is
+    repeated after that.
     """
-    rows = numbered(docs, "mix-docs")
-    sizes = settle(rows.select(ROW, "source", word_count("text").alias("size")), "mix-words")
-    mix = cube_mix(sizes, **options).where("copies > 0").select(ROW, F.col("copies").alias("__copies"))
-    taken = rows.join(mix, ROW).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    rows, keys = located(docs, "mix-docs")
+    content = content_hash(docs).alias("__content")
+    sizes = settle(rows.select(*keys, "source", content, word_count("text").alias("size")), "mix-words")
+    mix = cube_mix(sizes, by=["__content"], **options).where("copies > 0").select(*keys, F.col("copies").alias("__copies"))
+    taken = rejoin(rows, mix, keys).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return taken.select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,38 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
     return settle(df.withColumn(ROW, F.monotonically_increasing_id()), label)
 
 
+def located(df: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that name each row, and the names of these columns.
+
+    Rows read from Parquet files already have a name: their file and their place in it,
+    which stay the same for every column selection and recomputed task. The file's path
+    goes in as two hashes (96 bits). Other tables are written once with a row number.
+    """
+    try:
+        at = df.metadataColumn("_metadata")
+        path = at.getField("file_path")
+        keys = {f"{ROW}_f": F.xxhash64(path), f"{ROW}_g": F.crc32(path), f"{ROW}_i": at.getField("row_index")}
+        out = df.select("*", *[c.alias(n) for n, c in keys.items()])
+        out.schema  # noqa: B018  (resolves the names)
+        return out, list(keys)
+    except AnalysisException:
+        return numbered(df, label), [ROW]
+
+
+def content_hash(df: DataFrame) -> Column:
+    """Hash of a row's columns (maps cannot be hashed and are left out), whatever file it is in."""
+    return F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map<" not in t])
+
+
+def rejoin(rows: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """Wide ``rows`` with the columns of the narrow ``decided``, which has each key once.
+
+    The wide rows are shuffled once and not sorted: each partition builds a table of its
+    part of the decisions.
+    """
+    return rows.join(decided.hint("shuffle_hash"), keys)
+
+
 def positioned(df: DataFrame, order: list[Column], name: str, label: str) -> tuple[DataFrame, int]:
     """Rows with their 0-based position in ``order``, and the number of rows.
 

@@ -11,22 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyguard.llm.order import ROW, numbered, positioned
+from tallyguard.llm.order import content_hash, located, positioned, rejoin
+from tallyguard.session import settle
 
 SHARDS = 24
 
 
-def assign_shards(rows: DataFrame, shards: int = SHARDS, seed: int = 29) -> DataFrame:
+def assign_shards(
+    rows: DataFrame, shards: int = SHARDS, seed: int = 29, by: list[str] | None = None
+) -> DataFrame:
     """``rows`` (``source`` and any others, narrow, read from files) with ``shard`` and ``slot``.
 
     Shards are 0 to ``shards`` - 1, their row counts at most one apart; ``slot`` counts
-    from 0 within a shard. The order comes from a hash of all columns: it does not
-    depend on partitioning, and fully equal rows are interchangeable. Null sources are
+    from 0 within a shard. The order comes from a hash of the columns ``by`` (all columns
+    where not given): it does not depend on partitioning, and rows equal in ``by`` are
+    interchangeable. Equal texts get no common shard under this law. Null sources are
     one source. Both sorts are by range, so neither a large source nor repeated rows
     meet in one task.
     """
     kept = rows.columns
-    shuffled = rows.withColumn("_h", F.xxhash64(F.lit(seed), *kept))
+    shuffled = rows.withColumn("_h", F.xxhash64(F.lit(seed), *(by or kept)))
     ranked, n = positioned(
         shuffled, [F.col("source").asc_nulls_last(), F.col("_h"), *[F.col(c) for c in kept]], "_p", "shard-rank"
     )
@@ -45,8 +49,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 29) -> Da
     """Pipeline stage form: every document with its ``shard`` and ``slot``.
 
     Needs ``source``; other columns pass through, whatever they are called (columns
-    ``shard`` and ``slot`` of the input are replaced).
+    ``shard`` and ``slot`` of the input are replaced). Shards are decided on row names
+    and sources alone; every text moves once, to its decision.
     """
-    rows = numbered(docs.drop("shard", "slot"), "shard-docs")
-    placed = assign_shards(rows.select(ROW, "source"), shards, seed).select(ROW, "shard", "slot")
-    return rows.join(placed, ROW).drop(ROW)
+    rows, keys = located(docs.drop("shard", "slot"), "shard-docs")
+    content = content_hash(docs.drop("shard", "slot")).alias("__content")
+    narrow = settle(rows.select(*keys, "source", content), "shard-rows")
+    placed = assign_shards(narrow, shards, seed, ["__content"]).select(*keys, "shard", "slot")
+    return rejoin(rows, placed, keys).drop(*keys)
