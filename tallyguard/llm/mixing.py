@@ -7,10 +7,11 @@ probabilities at random through the null space of two constraints, the number of
 documents and the number of words, until all but two are 0 or 1: sums stay what they
 were while every document keeps its probability. Sources are cut into chunks of
 bounded size that run side by side; what a chunk leaves open moves on to the next round,
-until one chunk per source is left, which lands. Very long documents are the last to be
-decided, as nothing can make up for them on the way. So every chunk holds back some
-documents of moderate size: after the long ones have landed, the held ones' probabilities
-are shifted by the imbalance, whose mean is zero, and then fly themselves.
+until one chunk per source is left, which lands. Landing goes by tiers of size, longest
+documents first: a tier flies, its last two documents land with their own probabilities,
+and what that changed in documents and words is taken back by tilting the probabilities
+of all shorter ones. The change has mean zero, so the tilt has, too; what is left in the
+end is the landing of the two shortest documents.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ WEIGHTS = (5, 2, 1)  # by the source's place in code point order, repeating; nul
 SHARE = 1.5  # words of the mix over words of the corpus
 MOST = 2.0  # a source gives at most this many times its words
 CHUNK_ROWS = 20_000  # rows of one flight
-RESERVE = 200  # moderate rows that a chunk holds back for the landing
-_FEW = 40  # open rows below which a chunk holds nothing back
+_TIER = 4.0  # sizes in one tier of the landing differ by this factor at most
 _EPS = 1e-9
 
 
@@ -81,11 +81,10 @@ def _move(live: list[int], u: list[float], pi: list[float], rng) -> list[int]:
     return [k for k in live if 0.0 < pi[k] < 1.0]
 
 
-def flight(pi: list[float], size: list[float], rng, land: bool) -> list[float]:
-    """Moves the probabilities to 0 or 1 but for two at most; with ``land``, all.
+def flight(pi: list[float], size: list[float], rng) -> list[float]:
+    """Moves the probabilities to 0 or 1 but for two at most.
 
-    The sums of ``pi`` and of ``pi * size`` hold throughout the flight. Landing gives up
-    the count first, then the words, for the last two units only.
+    The sums of ``pi`` and of ``pi * size`` hold, and so does every mean.
     """
     pi = [0.0 if p < _EPS else 1.0 if p > 1 - _EPS else p for p in pi]
     live: list[int] = []
@@ -97,57 +96,117 @@ def flight(pi: list[float], size: list[float], rng, land: bool) -> list[float]:
             a, b, c = (size[k] for k in live)
             u = [b - c, c - a, a - b] if (a != b or b != c) else [1.0, -1.0, 0.0]
             live = _move(live, u, pi, rng)
-    if land and len(live) == 2:
-        a, b = (size[k] for k in live)
-        live = _move(live, [b, -a] if a > 0 and b > 0 else [1.0, -1.0], pi, rng)
-    if land:
-        for k in live:
-            pi[k] = 1.0 if rng.random() < pi[k] else 0.0
     return pi
 
 
-def decide(pi: list[float], size: list[float], rng, land: bool, reserve: int = RESERVE) -> list[float]:
-    """Flight of a chunk, large units first; with ``land`` every unit ends at 0 or 1.
+def _landings(pi: list[float]) -> list[tuple[float, list[float]]]:
+    """(probability, landed) for the ways to land the one or two open units.
 
-    ``reserve`` units at most, a quarter of the open ones at most, are held back, evenly
-    from the smaller three quarters. Without ``land`` they stay open beside the two that
-    the flight leaves.
+    Each unit is 1 with its probability, and their number is as even as can be.
     """
-    order = sorted(range(len(pi)), key=lambda k: -size[k])
-    open_ = [k for k in order if _EPS < pi[k] < 1 - _EPS]
-    small = [k for k in open_[len(open_) // 4 :] if size[k] > 0]
-    count = min(reserve, len(open_) // 4, len(small)) if len(open_) >= _FEW else 0
-    held = [small[i * len(small) // count] for i in range(count)]
-    apart = set(held)
-    first = [k for k in order if k not in apart]
-    out = list(pi)
-    for k, p in zip(first, flight([pi[k] for k in first], [size[k] for k in first], rng, land)):
-        out[k] = p
-    if not land or not held:
-        return out
-    gap = sum(size[k] * (pi[k] - out[k]) for k in first)
-    shifted = {k: pi[k] for k in held}
-    for _ in range(50):
-        free = [k for k in held if (shifted[k] < 1 if gap > 0 else shifted[k] > 0)]
-        mass = sum(size[k] for k in free)
-        if abs(gap) < _EPS or not mass:
+    open_ = [k for k, p in enumerate(pi) if 0.0 < p < 1.0]
+    if not open_:
+        return [(1.0, pi)]
+    if len(open_) == 1:
+        p = pi[open_[0]]
+        ways = [(p, (1.0,)), (1 - p, (0.0,))]
+    else:
+        p, q = (pi[k] for k in open_)
+        both = max(0.0, p + q - 1)
+        ways = [(both, (1.0, 1.0)), (p - both, (1.0, 0.0)), (q - both, (0.0, 1.0)), (1 - p - q + both, (0.0, 0.0))]
+    out = []
+    for chance, ends in ways:
+        if chance > _EPS:
+            landed = list(pi)
+            for k, x in zip(open_, ends):
+                landed[k] = x
+            out.append((chance, landed))
+    return out
+
+
+def _tilts(pi: np.ndarray, size: np.ndarray, asked: list[tuple[float, float]]) -> list[np.ndarray]:
+    """For every (count, words) asked for, what to add to ``pi`` to raise its sums by as much.
+
+    A unit moves by a line in its size, times p (1 - p), so sure ones stay. Moves are linear
+    in what is asked for, and where one of them would leave 0 to 1, all are shortened
+    alike: if the asked-for changes have mean zero, so have the moves.
+    """
+    w = pi * (1 - pi)
+    m = w.sum()
+    if m < _EPS:
+        return [np.zeros(len(pi)) for _ in asked]
+    mean = (w * size).sum() / m
+    spread = (w * (size - mean) ** 2).sum()
+    sloped = spread > _EPS * m * max(mean, 1.0) ** 2
+    moves, share = [], 1.0
+    for count, words in asked:
+        if sloped:
+            move = w * (count / m + (words - mean * count) / spread * (size - mean))
+        else:
+            move = w * (words / (mean * m) if mean else count / m)
+        up, down = move > 0, move < 0
+        limit = min(((1 - pi[up]) / move[up]).min(initial=1.0), (pi[down] / -move[down]).min(initial=1.0))
+        moves.append(move)
+        share = min(share, limit)
+    return [np.clip(move * share, -pi, 1 - pi) for move in moves]
+
+
+def _repair(pi: np.ndarray, size: np.ndarray, count: float, words: float) -> np.ndarray:
+    """``pi`` with words larger by what ``_tilts`` had to leave, or as it was if they cannot be.
+
+    Units that reach 0 or 1 stop there and the others go on, so the moves' mean is not
+    quite zero: this is the price of words that are met.
+    """
+    start, near = pi, 0.01 * abs(words) + _EPS
+    for _ in range(20):
+        w = pi * (1 - pi)
+        m = w.sum()
+        if abs(words) < near and abs(count) < 0.5:
             break
-        for k in free:
-            new = min(1.0, max(0.0, shifted[k] + gap / mass))
-            gap, shifted[k], mass = gap - size[k] * (new - shifted[k]), new, mass - size[k]
-            if mass <= 0:
-                break
-    for k, p in zip(held, flight([shifted[k] for k in held], [size[k] for k in held], rng, True)):
-        out[k] = p
+        if m < _EPS:
+            return pi if abs(words) < near else start
+        mean = (w * size).sum() / m
+        spread = (w * (size - mean) ** 2).sum()
+        if spread > _EPS * m * max(mean, 1.0) ** 2:
+            move = w * (count / m + (words - mean * count) / spread * (size - mean))
+        else:
+            move = w * (words / (mean * m) if mean else count / m)
+        new = np.clip(pi + move, 0.0, 1.0)
+        count, words = count - (new - pi).sum(), words - ((new - pi) * size).sum()
+        pi = new
+    return pi if abs(words) < near else start
+
+
+def decide(pi: list[float], size: list[float], rng, land: bool) -> list[float]:
+    """Flight of a chunk, large units first; with ``land`` every unit ends at 0 or 1."""
+    order = sorted(range(len(pi)), key=lambda k: -size[k])
+    p, s = np.array([pi[k] for k in order]), np.array([size[k] for k in order], np.float64)
+    if not land:
+        p = np.array(flight(p.tolist(), s.tolist(), rng))
+    lo = 0
+    while land and lo < len(p):
+        hi = lo + max(1, int(np.count_nonzero(s[lo:] * _TIER >= s[lo])))
+        flown = flight(p[lo:hi].tolist(), s[lo:hi].tolist(), rng)
+        ways = _landings(flown)
+        changes = [np.array(flown) - np.array(landed) for _, landed in ways]
+        moves = _tilts(p[hi:], s[hi:], [(c.sum(), (c * s[lo:hi]).sum()) for c in changes])
+        way = int(np.searchsorted(np.cumsum([c for c, _ in ways])[:-1], rng.random(), side="right"))
+        tilted = p[hi:] + moves[way]
+        left = changes[way].sum() - moves[way].sum(), (changes[way] * s[lo:hi]).sum() - (moves[way] * s[hi:]).sum()
+        p[lo:hi], p[hi:] = ways[way][1], _repair(tilted, s[hi:], *left)
+        lo = hi
+    out = [0.0] * len(pi)
+    for k, x in zip(order, p.tolist()):
+        out[k] = x
     return out
 
 
-def _fly(table: pa.Table, reserve: int) -> pa.Table:
+def _fly(table: pa.Table) -> pa.Table:
     table = table.sort_by([("size", "descending"), ("_p", "ascending")])
     seed = table.column("_draw")[0].as_py() if table.num_rows else 0
     rng = np.random.default_rng(seed & 0x7FFFFFFFFFFFFFFF)
     size = [float(x) for x in table.column("size").to_pylist()]
-    moved = decide(table.column("_pi").to_pylist(), size, rng, bool(table.column("_land")[0].as_py()), reserve)
+    moved = decide(table.column("_pi").to_pylist(), size, rng, bool(table.column("_land")[0].as_py()))
     return table.set_column(table.column_names.index("_pi"), "_pi", pa.array(moved, pa.float64()))
 
 
@@ -158,7 +217,6 @@ def cube_mix(
     weights: tuple[float, ...] = WEIGHTS,
     seed: int = 17,
     chunk_rows: int = CHUNK_ROWS,
-    reserve: int = RESERVE,
     by: list[str] | None = None,
 ) -> DataFrame:
     """``rows`` (source, size and any others, read from files) with ``source_size``,
@@ -166,9 +224,10 @@ def cube_mix(
 
     Rows are ordered within their source by a seeded hash of the columns ``by`` (all
     columns where not given), so the outcome does not depend on how the input is
-    partitioned. Null sources are one source; repeated rows are
+    partitioned. Columns of the three names are replaced. Null sources are one source; repeated rows are
     separate units; rows of a source without words are not taken.
     """
+    rows = rows.drop("source_size", "target", "copies")
     kept = rows.columns
     h = F.xxhash64(F.lit(seed), *(by or kept))
     placed, _ = positioned(
@@ -180,28 +239,27 @@ def cube_mix(
     by_source = settle(by_source, "mix-sizes")
     targets = source_targets(by_source.drop("_first"), share, most, weights)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    t = settle(targets.alias("t").join(by_source.alias("b"), same(targets, by_source)).select("t.*", "b._first"), "mix-targets")
+    t = settle(targets.alias("t").join(by_source.alias("b"), same(targets, by_source)).select("t.*", "b._first").withColumnRenamed("rows", "_rows"), "mix-targets")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     state = (
-        placed.join(t, same(placed, t)).select(*[placed[c] for c in kept], "_p", "source_size", "target", "rows", "_first", ratio.alias("_ratio"))
+        placed.join(t, same(placed, t)).select(*[placed[c] for c in kept], "_p", "source_size", "target", "_rows", "_first", ratio.alias("_ratio"))
         .withColumn("_base", F.floor("_ratio"))
         .withColumn("_pi", F.col("_ratio") - F.col("_base"))
         .withColumn("_chunk", F.floor((F.col("_p") - F.col("_first")) / chunk_rows))
-        .withColumn("_chunks", F.ceil(F.col("rows") / chunk_rows))
-        .drop("_h", "_first", "rows", "_ratio")
+        .withColumn("_chunks", F.ceil(F.col("_rows") / chunk_rows))
+        .drop("_h", "_first", "_rows", "_ratio")
     )
-    most_rows = t.agg(F.max("rows")).first()[0] or 0
+    most_rows = t.agg(F.max("_rows")).first()[0] or 0
     chunks, done, turn = -(-most_rows // chunk_rows), [], 0
     while chunks:
         flown = (
             state.withColumn("_land", F.col("_chunks") == 1)
             .withColumn("_draw", F.xxhash64(F.lit(seed), F.lit(turn), "source", "_chunk"))
         )
-        flown = settle(flown.groupBy("source", "_chunk").applyInArrow(lambda t: _fly(t, reserve), flown.schema), "mix-flight")
+        flown = settle(flown.groupBy("source", "_chunk").applyInArrow(_fly, flown.schema), "mix-flight")
         set_ = (F.col("_pi") == 0) | (F.col("_pi") == 1)
         done.append(flown.where(set_).withColumn("copies", (F.col("_base") + F.col("_pi")).cast("int")))
-        # a chunk leaves this many rows at most, so ``merge`` chunks make one of the next round
-        merge = max(2, chunk_rows // (reserve + 2))
+        merge = max(2, chunk_rows // 2)  # a chunk leaves two rows at most
         state = (
             flown.where(~set_)
             .withColumn("_chunk", F.floor(F.col("_chunk") / merge))

@@ -57,8 +57,8 @@ def test_mix_meets_targets(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice(["a", "b", "c", "d", None]), int(rng.lognormvariate(5, 1.2))) for i in range(4_000)]
     df = settle(spark.createDataFrame(rows, "doc_id bigint, source string, size bigint"), "t")
-    mix = mixing.cube_mix(df, chunk_rows=200, reserve=20).collect()
-    again = mixing.cube_mix(df.repartition(7), chunk_rows=200, reserve=20).collect()
+    mix = mixing.cube_mix(df, chunk_rows=200).collect()
+    again = mixing.cube_mix(df.repartition(7), chunk_rows=200).collect()
     assert sorted((r.doc_id, r.copies) for r in mix) == sorted((r.doc_id, r.copies) for r in again)
     sizes = {}
     for _, s, n in rows:
@@ -78,11 +78,11 @@ def test_flight_keeps_sums():
     rng = np.random.default_rng(1)
     size = [float(x) for x in rng.integers(0, 500, 300)]
     pi = [float(x) for x in rng.random(300)]
-    out = mixing.flight(list(pi), size, rng, False)
+    out = mixing.flight(list(pi), size, rng)
     assert sum(0 < p < 1 for p in out) <= 2
     assert sum(out) == pytest.approx(sum(pi))
     assert np.dot(out, size) == pytest.approx(np.dot(pi, size))
-    assert all(p in (0.0, 1.0) for p in mixing.flight(list(pi), [7.0] * 300, rng, True))
+    assert all(p in (0.0, 1.0) for p in mixing.decide(list(pi), [7.0] * 300, rng, True))
 
 
 def test_flight_keeps_probabilities():
@@ -92,6 +92,29 @@ def test_flight_keeps_probabilities():
     assert np.abs(got - pi).max() < 0.03
 
 
+@pytest.mark.parametrize("units, words, count", [(120, 0.02, 0.02), (1_000, 0.001, 0.01), (4_000, 0.001, 0.005)])
+def test_landing_keeps_words_count_and_means(units, words, count):
+    """95th percentiles over skewed sizes, and the mean inclusion of all and of the shorter units."""
+    rng, off_words, off_count, mean, short = np.random.default_rng(2), [], [], [], []
+    for _ in range(300 if units < 1_000 else 30):
+        size = np.maximum(1, np.round(rng.lognormal(5, 1.5, units)))
+        x = np.array(mixing.decide([0.37] * units, size.tolist(), rng, True))
+        off_words.append(abs((x * size).sum() / (0.37 * size.sum()) - 1))
+        off_count.append(abs(x.sum() / (0.37 * units) - 1))
+        mean.append(x.mean())
+        short.append(x[np.argsort(size)[: units * 3 // 4]].mean())
+    assert np.quantile(off_words, 0.95) < words and np.quantile(off_count, 0.95) < count
+    assert abs(np.mean(mean) - 0.37) < 0.02 and abs(np.mean(short) - 0.37) < 0.02
+
+
+def test_mix_clashing_names(spark):
+    rows = [(i, "a", 5 + i % 3, 1, "x", 7) for i in range(100)]
+    df = settle(spark.createDataFrame(rows, "doc_id bigint, source string, size bigint, rows bigint, target string, copies int"), "t")
+    mix = mixing.cube_mix(df)
+    assert mix.columns == ["doc_id", "source", "size", "rows", "source_size", "target", "copies"]
+    assert sum(r["rows"] for r in mix.collect()) == 100
+
+
 def test_mix_odd_and_empty(spark):
     docs = odd_docs(spark)
     out = mixing.mix_documents(docs)
@@ -422,3 +445,15 @@ def test_toxicity_odd_and_empty(spark):
     assert toxicity.score(docs, model).count() == docs.count()
     none = toxicity.fit(docs, labels.limit(0))
     assert toxicity.score(docs.limit(0), none).count() == 0 and none["rows"] == 0
+
+
+def test_quality_sample_is_bounded(spark):
+    """A third of all rows have one text that is drawn; the sample stays near its bound."""
+    rng = random.Random(6)
+    words = ["the", "river", "ran", "over", "stones", "and", "trees", "$$$", "###", "HOT"]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) + f" {i}" for i in range(4_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    drawn = df.where("pmod(xxhash64(11, text), 1073741824) < 107374182").first()["text"]
+    df = settle(df.unionByName(spark.createDataFrame([(drawn,)] * 2_000, "text string")), "t")
+    model = quality.fit(df, train_rows=600)
+    assert 0.9 * 600 <= model["sample"] <= 1.1 * 600
