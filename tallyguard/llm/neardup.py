@@ -40,7 +40,7 @@ _MEMBERS = 2_000  # comparisons with one representative per task group
 _BLOCK = 2_048  # members of a table compared in memory at a time
 _SKETCH = 512  # minimum hashes, one byte each, that such comparisons use
 _ALPHA = 4.5  # standard deviations a linked pair may fall short of the threshold there
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _ENOUGH = 0.30  # a pair goes to the exact check unless its estimate is this far below
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)

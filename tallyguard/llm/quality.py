@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 2048  # hashed features
-TRAIN_ROWS = 6_000  # documents the scorer is fitted on, at most about this many
+TRAIN_ROWS = 6_000  # distinct texts the scorer is fitted on, about this many at most
 KEEP = 0.5
 BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = ("symbols", "separators", "capitals", "repeats", "clean_words", "short_words")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _SYMBOLS = "#$%&*~^=<>\\"
 _FEW = 6  # words below which the general labellers abstain
 _CLEAN = re.compile(r"[(\"'«]?[^\W\d_]?[^\W\d_A-ZÀ-ÖØ-Þ]*[.,;:?!]?[)\"'»]?")
@@ -178,17 +178,19 @@ def _vote_code(texts: pd.Series) -> pd.Series:
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> dict:
     """The label model, from the votes on all of ``docs``, and the scorer.
 
-    The scorer is fitted on a hash-drawn sample of about ``train_rows`` documents, whose
-    sparse features come to the driver; everything else is a count per vote pattern
-    (3 to the number of labellers at most).
+    The label model is fitted on counts per vote pattern (3 to the number of labellers at
+    most), in which repeated rows count as often as they occur. The scorer is fitted on a
+    hash-drawn sample of about ``train_rows`` distinct texts, each once however many rows
+    have it, so copies neither enlarge the sample nor outvote the rest. Its sparse features
+    come to the driver; the number of distinct texts is estimated to 1%.
     """
-    vote = F.pandas_udf(_vote_code, "bigint")
-    counted = docs.select(vote("text").alias("v")).groupBy("v").count().collect()
-    counts = {r["v"]: r["count"] for r in counted if r["v"] >= 0}
-    model = fit_labellers(counts)
-    total = sum(counts.values())
-    share = min(1.0, train_rows / total) if total else 0.0
-    drawn = docs.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    vote, h = F.pandas_udf(_vote_code, "bigint"), F.xxhash64(F.lit(seed), "text")
+    voted = docs.select(vote("text").alias("v"), h.alias("h")).groupBy("v")
+    counted = voted.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h", 0.01).alias("d")).where("v >= 0").collect()
+    model = fit_labellers({r["v"]: r["n"] for r in counted})
+    distinct = sum(r["d"] for r in counted)
+    share = min(1.0, train_rows / distinct) if distinct else 0.0
+    drawn = docs.select("text").where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["text"])
     posterior = model["posterior"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> dict:
             yield pa.RecordBatch.from_pylist(found, pa.schema([("at", pa.binary()), ("values", pa.binary()), ("y", pa.float64())]))
 
     kind = T.StructType([T.StructField("at", T.BinaryType()), T.StructField("values", T.BinaryType()), T.StructField("y", T.DoubleType())])
-    sample = drawn.select("text").mapInArrow(rows, kind).collect()
+    sample = drawn.mapInArrow(rows, kind).collect()
     model["sample"] = len(sample)
     ordered = sorted((bytes(r["at"]), bytes(r["values"]), r["y"]) for r in sample)
     model["weights"], model["bias"] = fit_scorer([(np.frombuffer(a, "<i4"), np.frombuffer(v, "<f4"), y) for a, v, y in ordered])
