@@ -1,8 +1,8 @@
 """Document fingerprints from Lempel-Ziv phrase sets.
 
 A text is parsed into dictionary phrases: each phrase is the shortest run that has not
-been a phrase before, at most ``PHRASE_CHARS`` code points. The set of phrases is hashed
-and its smallest hashes are the signature; the likeness of two signatures estimates the
+been a phrase before. The dictionary is keyed by (number of the phrase without its last
+code point, last code point), so a step costs the same however long the phrase is. The set of phrases is hashed and its smallest hashes are the signature; the likeness of two signatures estimates the
 Jaccard similarity of the phrase sets, which behaves like compression distance.
 """
 
@@ -19,46 +19,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PHRASE_CHARS = 64  # keeps the parse linear on repetitive texts
 KEPT = 48  # smallest hashes in a signature
 _CHUNKS = 2  # key ranges per shuffle partition in ``edited_neighbours``
 # odd multipliers of the phrase hash and its finalizer
 _BASE, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-with np.errstate(over="ignore"):
-    _POWERS = np.cumprod(np.full(PHRASE_CHARS, _BASE, dtype=np.uint64))
+_CODES = 0x110000  # code points, so parent * _CODES + code is a key of its own
 
 
-def parse(text: str, phrases: dict[str, None] | None = None, pending: str = "") -> tuple[dict[str, None], str]:
-    """The phrases of ``text`` in order of appearance, and its unfinished last phrase.
+class Parse:
+    """A parse that can go on: the dictionary, the ends of the phrases, the unfinished phrase."""
 
-    ``phrases`` and ``pending`` go on with an earlier parse; ``phrases`` is extended.
-    """
-    phrases = {} if phrases is None else phrases
-    p = pending
-    for c in text:
-        p += c
-        if p not in phrases:
-            phrases[p] = None
-            p = ""
-        elif len(p) == PHRASE_CHARS:
-            p = ""
-    return phrases, p
-
-
-def signature(phrases: dict[str, None], pending: str = "", kept: int = KEPT) -> np.ndarray:
-    """The ``kept`` smallest 32-bit hashes of the phrase set, ascending.
-
-    An unfinished last phrase equals an earlier phrase, so it adds nothing. Sets with
-    fewer distinct hashes are kept whole.
+    def __init__(self):
+        self.phrases: dict[int, int] = {}
+        self.ends: list[int] = []
+        self.chars, self.node = 0, 0
+
+    def copy(self) -> Parse:
+        other = Parse()
+        other.phrases, other.ends = dict(self.phrases), list(self.ends)
+        other.chars, other.node = self.chars, self.node
+        return other
+
+    def feed(self, text: str) -> Parse:
+        """Goes on with ``text``; a phrase may begin in what came before."""
+        node, phrases, ends, found = self.node, self.phrases, self.ends, self.phrases.get
+        for at, code in enumerate(_codes(text).tolist(), self.chars + 1):
+            key = node * _CODES + code
+            node = found(key)
+            if node is None:
+                phrases[key] = len(phrases) + 1
+                ends.append(at)
+                node = 0
+        self.node, self.chars = node, self.chars + len(text)
+        return self
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def phrases(text: str) -> list[str]:
+    """The phrases of ``text`` in order of appearance, each once; an unfinished last one equals an earlier one."""
+    ends = Parse().feed(text).ends
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+_powers = np.ones(1, np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        with np.errstate(over="ignore"):
+            _powers = np.cumprod(np.full(2 * n, _BASE, dtype=np.uint64))
+    return _powers
+
+
+def signature(text: str, ends: list[int], kept: int = KEPT) -> np.ndarray:
+    """The ``kept`` smallest 32-bit hashes of the phrases of ``text``, ascending.
+
+    Phrases follow each other without gaps and end at ``ends``. Sets with fewer distinct
+    hashes are kept whole.
     """
-    if not phrases:
+    if not ends:
         return np.empty(0, np.uint32)
-    lens = np.fromiter(map(len, phrases), np.int64, len(phrases))
-    codes = np.frombuffer("".join(phrases).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    starts = np.cumsum(lens) - lens
+    stops = np.array(ends, np.int64)
+    starts = np.concatenate([[0], stops[:-1]])
+    lens = stops - starts
+    codes = _codes(text)[: ends[-1]].astype(np.uint64)
     with np.errstate(over="ignore"):
         codes += np.uint64(1)
-        codes *= _POWERS[np.arange(len(codes)) - np.repeat(starts, lens)]
+        codes *= _powers_to(int(lens.max()))[np.arange(len(codes)) - np.repeat(starts, lens)]
         h = np.add.reduceat(codes, starts)
         h ^= h >> np.uint64(30)
         h *= _M1
@@ -82,7 +113,7 @@ def decode(fingerprint: str) -> np.ndarray:
 
 def fingerprint(text: str | None) -> str:
     """Fingerprint of one whole text; null and empty texts have the empty string."""
-    return encode(signature(*parse(text or "")))
+    return encode(signature(text or "", Parse().feed(text or "").ends))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
@@ -124,16 +155,14 @@ class _Doc:
         self.doc_id, self.text = doc_id, text or ""
         self.half = len(self.text) // 2
         head = self.text[: len(self.text) - self.half]
-        self.phrases, self.pending = parse(head)
-        both, _ = parse(self.text[len(head) :], dict(self.phrases), self.pending)
-        self.sig = signature(both)
+        self.parsed = Parse().feed(head)
+        self.sig = signature(self.text, self.parsed.copy().feed(self.text[len(head) :]).ends)
 
     def against(self, following: _Doc) -> tuple:
         part = following.text[: self.half]
-        phrases, _ = parse(part, self.phrases, self.pending)
-        self.phrases = {}
-        edited = signature(phrases)
         text = self.text[: len(self.text) - self.half] + part
+        edited = signature(text, self.parsed.feed(part).ends)
+        self.parsed = None
         digest = hashlib.sha256(text.encode("utf-8")).hexdigest()
         near = likeness(self.sig, edited), likeness(self.sig, following.sig)
         return self.doc_id, len(self.text), digest, encode(self.sig), encode(edited), *near
@@ -169,7 +198,8 @@ def edited_neighbours(docs: DataFrame) -> DataFrame:
     (null ids last, equal ids in text order); after the last comes the first. Rows go by
     key ranges to sorted partitions; the ranges are split where approximate quantiles of
     doc_id say (as many numbers as there are ranges), and each range also gets the first
-    row of the next. So the texts are shuffled once, and a task holds two at a time.
+    row of the next. So the texts are shuffled once, and a task holds two at a time. Rows of
+    one doc_id, and all rows without one, are of one range and so of one task.
     Null texts are empty. An empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -212,9 +212,9 @@ def test_likeness_estimates_jaccard():
     words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(800)]
     a = " ".join(rng.choices(words, k=3_000))
     b = a[: len(a) // 2] + " ".join(rng.choices(words, k=1_500))
-    pa, pb = set(lzfinger.parse(a)[0]), set(lzfinger.parse(b)[0])
+    pa, pb = set(lzfinger.phrases(a)), set(lzfinger.phrases(b))
     kept = 1_000
-    est = lzfinger.likeness(lzfinger.signature(lzfinger.parse(a)[0], kept=kept), lzfinger.signature(lzfinger.parse(b)[0], kept=kept), kept)
+    est = lzfinger.likeness(*[lzfinger.signature(t, lzfinger.Parse().feed(t).ends, kept) for t in (a, b)], kept)
     assert est == pytest.approx(len(pa & pb) / len(pa | pb), abs=0.06)
     assert lzfinger.likeness(lzfinger.decode(""), lzfinger.decode("")) == 1.0
 
@@ -457,3 +457,27 @@ def test_quality_sample_is_bounded(spark):
     df = settle(df.unionByName(spark.createDataFrame([(drawn,)] * 2_000, "text string")), "t")
     model = quality.fit(df, train_rows=600)
     assert 0.9 * 600 <= model["sample"] <= 1.1 * 600
+
+
+def plain_lz78(text):
+    seen, out, p = set(), [], ""
+    for c in text:
+        p += c
+        if p not in seen:
+            seen.add(p)
+            out.append(p)
+            p = ""
+    return out
+
+
+def test_lz_phrases_of_any_length():
+    """Long repetitive texts are parsed as by plain LZ78: no phrase is cut short."""
+    rng = random.Random(2)
+    mixed = "".join(rng.choice("ab🙂") for _ in range(5_000))
+    for text in ["a" * 100_000, "ab" * 20_000, mixed, "", "x", "naïve 漢字 " * 500]:
+        assert lzfinger.phrases(text) == plain_lz78(text)
+    assert len(lzfinger.phrases("a" * 3_000)) == 76 and len(lzfinger.phrases("a" * 100_000)) == 446
+    near = lzfinger.likeness(*[lzfinger.decode(lzfinger.fingerprint("a" * n)) for n in (3_000, 100_000)])
+    assert near < 0.5
+    whole = lzfinger.Parse().feed(mixed).ends
+    assert lzfinger.Parse().feed(mixed[:777]).copy().feed(mixed[777:]).ends == whole
