@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.operators.skew import MARKS, chunk_id, match_on, split_dense
+from tallyguard.operators.moments import moments_before, spelled, summarised
+from tallyguard.operators.skew import MARKS, OVERSPLIT, ROWS_PER_CHUNK, budget, chunk_id, match_on, split_dense
 from tallyguard.schema import EPSILON
+from tallyguard.session import settle
 
 FRAMES = ("earlier", "before", "through")
 
@@ -151,6 +153,27 @@ def neighbour_times(
     return out.unionByName(joined)
 
 
+def prior_sets(
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    us: str = "us",
+    seq: str = "seq",
+    through: bool = False,
+    rows: int | None = None,
+) -> DataFrame:
+    """Add ``_moments`` of ``value`` over a key's earlier rows; ``through`` includes the row itself."""
+    sparse, dense = split_dense(df, keys, us, rows=rows)
+    spec = _frame(keys, [us, seq], "through" if through else "before")
+    out = sparse.select("*", summarised(value, spec).alias("_moments"))
+    if dense is None:
+        return out
+    order = [us] if us == seq else [us, seq]
+    cut = dense.withColumn("_chunk", chunk_id(us))
+    found = moments_before(cut, keys, "_chunk", order, value, through)
+    return out.unionByName(found.select(*df.columns, "_moments"))
+
+
 def prior_moments(
     df: DataFrame,
     keys: list[str],
@@ -164,48 +187,8 @@ def prior_moments(
 
     ``m2`` is the sum of squared deviations. ``through`` includes the row itself.
     """
-    frame = "through" if through else "before"
-    sparse, dense = split_dense(df, keys, us, value, rows=rows)
-    spec = _frame(keys, [us, seq], frame)
-    out = sparse.select(
-        "*",
-        F.count(value).over(spec).alias("prior_n"),
-        F.avg(value).over(spec).alias("prior_mean"),
-        (F.var_pop(value).over(spec) * F.count(value).over(spec)).alias("prior_m2"),
-    )
-    if dense is None:
-        return out
-    centred = F.col(value) - F.col("_shift")
-    totals = running_sums(
-        dense.withColumn("_chunk", chunk_id(us)),
-        keys,
-        [us, seq],
-        {
-            "_n": F.when(F.col(value).isNotNull(), 1).otherwise(0),
-            "_s": F.coalesce(centred, F.lit(0.0)),
-            "_q": F.coalesce(centred * centred, F.lit(0.0)),
-        },
-        frame,
-        "_chunk",
-    )
-    return out.unionByName(
-        totals.select(
-            *df.columns,
-            F.col("_n").alias("prior_n"),
-            F.when(F.col("_n") > 0, F.col("_shift") + F.col("_s") / F.col("_n")).alias(
-                "prior_mean"
-            ),
-            centred_m2("_n", "_s", "_q").alias("prior_m2"),
-        )
-    )
-
-
-def centred_m2(n: str, s: str, q: str) -> Column:
-    """Squared deviations from shifted sums; differences below rounding noise are zero."""
-    raw = F.col(q) - F.col(s) * F.col(s) / F.col(n)
-    return F.when(
-        F.col(n) > 0, F.when(raw <= F.lit(1e-12) * F.col(q), F.lit(0.0)).otherwise(raw)
-    )
+    found = prior_sets(df, keys, value, us, seq, through, rows)
+    return found.select(*df.columns, *spelled("_moments", "prior"))
 
 
 def prior_count(
@@ -255,33 +238,22 @@ def first_seen(
     return out.unionByName(flagged.drop("_first", *MARKS))
 
 
-def running_amounts(
-    df: DataFrame, value: str, us: str = "us", seq: str = "seq", chunks: int = 256
-) -> DataFrame:
+def running_amounts(df: DataFrame, value: str, us: str = "us", seq: str = "seq") -> DataFrame:
     """Add ``running_n``, ``running_mean``, ``running_std`` over all rows so far.
 
-    One global order: cut into equal time chunks whose totals are carried, so no
-    task sees more than its chunk. One row so far has a spread of ``EPSILON``.
+    One global order, cut into sampled ranges of about equally many rows, whose moments
+    are merged into the later ranges; so no task sees more than its range. One row so far has a spread of ``EPSILON``.
     """
-    span = df.agg(F.min(us).alias("lo"), F.max(us).alias("hi"), F.avg(value).alias("mean")).first()
-    lo, hi, shift = span["lo"] or 0, span["hi"] or 0, span["mean"] or 0.0
-    width = (hi - lo) // chunks + 1
-    x = F.col(value) - F.lit(shift)
-    marked = df.withColumn("_all", F.lit(0)).withColumn(
-        "_chunk", F.expr(f"({us} - {lo}L) div {width}L")
-    )
-    sums = running_sums(
-        marked,
-        ["_all"],
-        [us, seq],
-        {"running_n": F.lit(1).cast("bigint"), "_s": x, "_q": x * x},
-        "through",
-        "_chunk",
-    )
-    spread = F.sqrt(centred_m2("running_n", "_s", "_q") / (F.col("running_n") - 1))
-    return sums.select(
+    spark = df.sparkSession
+    size = df.count()
+    panes = max(1, -(-size * OVERSPLIT // budget(spark, ROWS_PER_CHUNK)))
+    cut = df.repartitionByRange(panes, us, seq) if panes > 1 else df.coalesce(1)
+    cut = settle(cut.withColumn("_all", F.lit(0)).withColumn("_chunk", F.spark_partition_id()), "running-panes")
+    found = moments_before(cut, ["_all"], "_chunk", [us, seq], value, True)
+    n, spread = F.col("_moments.n"), F.sqrt(F.col("_moments.m2") / (F.col("_moments.n") - 1))
+    return found.select(
         *df.columns,
-        "running_n",
-        (F.lit(shift) + F.col("_s") / F.col("running_n")).alias("running_mean"),
-        F.when(F.col("running_n") < 2, F.lit(EPSILON)).otherwise(spread).alias("running_std"),
+        n.alias("running_n"),
+        F.when(n > 0, F.col("_moments.mean")).alias("running_mean"),
+        F.when(n < 2, F.lit(EPSILON)).otherwise(spread).alias("running_std"),
     )

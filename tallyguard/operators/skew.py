@@ -22,8 +22,8 @@ SLIDING_ROWS = "tallyguard.slidingRows"
 _DEFAULTS = {ROWS_PER_CHUNK: 1_000_000, SLIDING_ROWS: 20_000}
 # Time chunks are equal in width, not in rows; cutting finer than the budget
 # leaves room for bursts.
-_OVERSPLIT = 4
-MARKS = ["_lo", "_width", "_shift"]
+OVERSPLIT = 4
+MARKS = ["_lo", "_width"]
 
 
 def budget(spark: SparkSession, name: str) -> int:
@@ -53,16 +53,13 @@ def split_dense(
     df: DataFrame,
     keys: list[str],
     us: str = "us",
-    value: str | None = None,
     limit: str = ROWS_PER_CHUNK,
     rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of sparse keys, rows of dense keys with chunk marks or None).
 
     Dense means more rows than ``limit``. The second part carries ``_lo`` and
-    ``_width`` (for :func:`chunk_id`) and ``_shift``, the key's mean of
-    ``value``, which keeps running sums of squares well conditioned. Rows with a
-    missing key count as sparse. ``rows`` is the row count where the caller knows
+    ``_width`` (for :func:`chunk_id`). Rows with a missing key count as sparse. ``rows`` is the row count where the caller knows
     it. Small inputs and inputs without dense keys keep their plan; otherwise the
     input is written once, because several branches read it.
     """
@@ -70,8 +67,7 @@ def split_dense(
     allowed = budget(spark, limit)
     if (df.count() if rows is None else rows) <= allowed:
         return df, None
-    per_chunk = max(1, budget(spark, ROWS_PER_CHUNK) // _OVERSPLIT)
-    shift = F.avg(value) if value else F.lit(0.0)
+    per_chunk = max(1, budget(spark, ROWS_PER_CHUNK) // OVERSPLIT)
 
     def dense_keys(source: DataFrame) -> DataFrame:
         return (
@@ -80,13 +76,11 @@ def split_dense(
                 F.count(F.lit(1)).alias("_n"),
                 F.min(us).alias("_lo"),
                 F.max(us).alias("_hi"),
-                F.coalesce(shift, F.lit(0.0)).alias("_shift"),
             )
             .where(F.col("_n") > allowed)
             .select(
                 *keys,
                 "_lo",
-                "_shift",
                 F.expr(
                     "greatest(1L, (_hi - _lo) div "
                     f"cast(ceil(_n / {per_chunk}D) as bigint) + 1L)"

@@ -10,18 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyguard.operators.moments import merged, spelled, summarised, window_moments
 from tallyguard.operators.running import (
     add_sums_before,
     add_tied_sums,
-    centred_m2,
     neighbour_times,
-    prior_moments,
+    prior_sets,
     running_sums,
 )
 from tallyguard.operators.skew import (
     MARKS,
     ROWS_PER_CHUNK,
     SLIDING_ROWS,
+    match_on,
     split_dense,
 )
 
@@ -41,82 +42,47 @@ def _sparse_windows(df, keys, counts, value, moments, us) -> DataFrame:
     ]
     for name, w in moments.items():
         spec = Window.partitionBy(*keys).orderBy(us).rangeBetween(-w, -1)
-        columns += [
-            F.count(value).over(spec).alias(f"{name}_n"),
-            F.avg(value).over(spec).alias(f"{name}_mean"),
-            (F.var_pop(value).over(spec) * F.count(value).over(spec)).alias(f"{name}_m2"),
-        ]
+        columns.append(summarised(value, spec).alias(f"_of_{name}"))
     return df.select("*", *columns)
 
 
 def _dense_windows(df, keys, counts, value, moments, us, columns) -> DataFrame:
-    """Each row enters at its time and leaves ``w`` later; running sums of both."""
-    spans = {**counts, **moments}
-    names = list(spans)
+    """Counts as running sums of entries and exits; moments merged from both ends of blocks."""
+    names = list(counts)
     moves = [F.struct(F.lit(0).alias("kind"), F.col(us).alias("at"))]
     moves += [
-        F.struct(F.lit(i).alias("kind"), (F.col(us) + F.lit(spans[n])).alias("at"))
+        F.struct(F.lit(i).alias("kind"), (F.col(us) + F.lit(counts[n])).alias("at"))
         for i, n in enumerate(names, 1)
     ]
-    x = (F.col(value) - F.col("_shift")) if value else F.lit(0.0)
-    present = F.col(value).isNotNull() if value else F.lit(True)
-    events = df.select(
-        *keys,
-        *MARKS,
-        F.coalesce(x, F.lit(0.0)).alias("_x"),
-        present.cast("int").alias("_present"),
-        F.explode(F.array(*moves)).alias("_move"),
-    )
-    sums: dict[str, Column] = {}
-    for i, n in enumerate(names, 1):
+    out = df
+    if names:
+        events = df.select(*keys, *MARKS, F.explode(F.array(*moves)).alias("_move"))
         kind = F.col("_move.kind")
-        sign = F.when(kind == 0, 1).when(kind == i, -1).otherwise(0)
-        if n in counts:
-            sums[n] = sign.cast("bigint")
-        else:
-            sums[f"{n}_n"] = (sign * F.col("_present")).cast("bigint")
-            sums[f"{n}_s"] = sign * F.col("_x")
-            sums[f"{n}_q"] = sign * F.col("_x") * F.col("_x")
-    moved = events.select(
-        *keys, *MARKS, F.col("_move.at").alias("_at"), *[v.alias(n) for n, v in sums.items()]
-    )
-    summed = add_sums_before(df, moved, keys, list(sums), us)
-    out = [F.col(n) for n in counts]
-    for n in moments:
-        out += [
-            F.col(f"{n}_n"),
-            F.when(
-                F.col(f"{n}_n") > 0, F.col("_shift") + F.col(f"{n}_s") / F.col(f"{n}_n")
-            ).alias(f"{n}_mean"),
-            centred_m2(f"{n}_n", f"{n}_s", f"{n}_q").alias(f"{n}_m2"),
+        signs = [
+            F.when(kind == 0, 1).when(kind == i, -1).otherwise(0).cast("bigint").alias(n)
+            for i, n in enumerate(names, 1)
         ]
-    return summed.select(*columns, *out)
+        moved = events.select(*keys, *MARKS, F.col("_move.at").alias("_at"), *signs)
+        out = add_sums_before(df, moved, keys, names, us)
+    for n, w in moments.items():
+        found = window_moments(df, keys, value, w, "_width", us)
+        out = match_on(out, found.withColumnRenamed("_moments", f"_of_{n}"), keys + [us], "inner")
+    return out.select(*columns, *names, *[f"_of_{n}" for n in moments])
 
 
 def _tied_predecessors(df, keys, value, moments, us, seq, rows) -> DataFrame:
     """Add count and moments of the earlier rows of the same timestamp."""
     df = add_tied_sums(df, keys, {"_tn": F.lit(1).cast("bigint")}, "before", us, seq, rows)
-    return prior_moments(df, keys + [us], value, seq, seq, rows=rows) if moments else df
+    if not moments:
+        return df
+    return prior_sets(df, keys + [us], value, seq, seq, rows=rows).withColumnRenamed("_moments", "_tied")
 
 
 def _merge_tied(df, columns, counts, moments) -> DataFrame:
     """Strictly earlier rows and tied predecessors together."""
-    merged = [(F.col(n) + F.col("_tn")).alias(n) for n in counts]
-    for m in moments:
-        a, b = F.col(f"{m}_n"), F.col("prior_n")
-        gap = F.col("prior_mean") - F.col(f"{m}_mean")
-        merged += [
-            (a + b).alias(f"{m}_n"),
-            F.when(b == 0, F.col(f"{m}_mean"))
-            .when(a == 0, F.col("prior_mean"))
-            .otherwise(F.col(f"{m}_mean") + gap * b / (a + b))
-            .alias(f"{m}_mean"),
-            F.when(b == 0, F.col(f"{m}_m2"))
-            .when(a == 0, F.col("prior_m2"))
-            .otherwise(F.col(f"{m}_m2") + F.col("prior_m2") + gap * gap * a * b / (a + b))
-            .alias(f"{m}_m2"),
-        ]
-    return df.select(*columns, *merged)
+    parts = [(F.col(n) + F.col("_tn")).alias(n) for n in counts]
+    parts += [merged(F.col(f"_of_{m}"), F.col("_tied")).alias(f"_of_{m}") for m in moments]
+    return df.select(*columns, *parts)
 
 
 def trailing_windows(
@@ -137,13 +103,16 @@ def trailing_windows(
     if ties == "row":
         # First, so that its finer sort order also serves the windows below.
         df = _tied_predecessors(df, keys, value, moments, us, seq, rows)
-    sparse, dense = split_dense(df, keys, us, value, limit, rows)
+    sparse, dense = split_dense(df, keys, us, limit, rows)
     out = _sparse_windows(sparse, keys, counts, value, moments, us)
     if dense is not None:
         out = out.unionByName(
             _dense_windows(dense, keys, counts, value, moments, us, df.columns)
         )
-    return _merge_tied(out, columns, counts, moments) if ties == "row" else out
+    if ties == "row":
+        out = _merge_tied(out, columns, counts, moments)
+    spelt = [c for m in moments for c in spelled(f"_of_{m}", m)]
+    return out.select(*columns, *counts, *spelt)
 
 
 def trailing_distinct(

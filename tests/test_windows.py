@@ -97,7 +97,7 @@ def test_prior_moments(frame, through):
 
 
 def test_running_amounts(frame):
-    out = by_seq(running_amounts(frame, "amount", chunks=7))
+    out = by_seq(running_amounts(frame, "amount"))
     ordered = sorted(ROWS, key=lambda r: (r["us"], r["seq"]))
     for i, row in enumerate(ordered):
         n, mean, m2 = moments([r["amount"] for r in ordered[: i + 1]])
@@ -107,6 +107,31 @@ def test_running_amounts(frame):
         assert got["running_std"] == pytest.approx((m2 / (n - 1)) ** 0.5 if n > 1 else 1e-9)
 
 
+@pytest.mark.parametrize("ties", ["strict", "row"])
+def test_equal_amounts_after_a_busy_spell(spark, ties):
+    """Nothing of a varied past is left in a window of equal amounts, whatever the budget."""
+    day = 86_400_000_000
+    rows = [(i, i * 20_000_000, "k", "r", 1.0 + (i * 7919 % 100_003) / 3.0) for i in range(3_000)]
+    rows += [(3_000 + i, 40 * day + i * 60_000_000, "k", "r", 500.37) for i in range(6)]
+    rows += [(4_000 + i, 50 * day, "k", "r", 20.1) for i in range(9)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for budget in (None, "5", "100"):
+        for name in ("tallyguard.rowsPerChunk", "tallyguard.slidingRows"):
+            spark.conf.set(name, budget) if budget else spark.conf.unset(name)
+        out = trailing_windows(df, ["snd"], {"c": day}, "amount", {"d": day}, ties)
+        seen.append({r["seq"]: (r["c"], r["d_n"], r["d_mean"], r["d_m2"]) for r in out.collect()})
+    for name in ("tallyguard.rowsPerChunk", "tallyguard.slidingRows"):
+        spark.conf.unset(name)
+    for seq, (c, n, mean, m2) in seen[0].items():
+        for other in seen[1:]:
+            assert other[seq][:2] == (c, n)
+            assert (other[seq][2], other[seq][3]) == pytest.approx((mean, m2), rel=1e-12) if n else other[seq][2:] == (None, None)
+    for i in range(1, 6):
+        assert all(s[3_000 + i][1:] == (i, 500.37, 0.0) for s in seen)
+    assert all(s[4_008][1:] == ((8, 20.1, 0.0) if ties == "row" else (0, None, None)) for s in seen)
+
+
 def test_tied_rows_golden(spark):
     """Window 600: two tied groups and a row just outside the first."""
     rows = [(0, 0, "A"), (1, 0, "B"), (2, 0, "A"), (3, 600, "C"), (4, 601, "C")]
