@@ -15,19 +15,21 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.lookup import Slots, spread
 from tallyguard.llm.order import positioned
 from tallyguard.session import settle
 
 CAPACITY = 4096
 END = 2  # id put after every document
 BATCH_CHARS = 8_000_000  # characters encoded together
-CACHE_WORDS = 500_000  # words a worker keeps before it starts afresh
+CACHE_WORDS = 900_000  # words a worker keeps before it starts afresh
 WORD_CHARS = 64  # longer words are encoded on their own
 _JOINED = 2_000  # words encoded in one call
 # the four that str.split() takes as white space and the tokenizer keeps as text
@@ -37,23 +39,6 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 # --- ids --------------------------------------------------------------------------
-class _Slots(dict):
-    """Numbers words in order of appearance; ``new`` has those not yet encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = slot = len(self)
-        self.new.append(word)
-        return slot
-
-    def taken(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
-
-
 class _Ids:
     """Id sequences one after the other, by slot."""
 
@@ -67,13 +52,7 @@ class _Ids:
     def stream(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the slots in order, and how many each has."""
         counts = self.counts[slots]
-        return self.flat[_spread(self.starts[slots], counts)], counts
-
-
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for every (start, length), one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+        return self.flat[spread(self.starts[slots], counts)], counts
 
 
 class WordEncoder:
@@ -96,8 +75,8 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self._words, self._word_ids = _Slots(), _Ids()
-        self._cores, self._core_ids, self._chars = _Slots(), _Ids(), 0
+        self._words, self._word_ids = Slots(), _Ids()
+        self._cores, self._core_ids, self._chars = Slots(), _Ids(), 0
 
     def whole(self, text: str) -> np.ndarray:
         return self._encode([text])[0]
@@ -111,7 +90,8 @@ class WordEncoder:
             self._reset()
         split = [None if _SEPARATORS.search(t) else t.split() for t in texts]
         sizes = [len(s) for s in split if s]
-        at = np.fromiter((self._words[w] for s in split if s for w in s), np.int64, sum(sizes))
+        words = chain.from_iterable(s for s in split if s)
+        at = np.fromiter(map(self._words.__getitem__, words), np.int64, sum(sizes))
         self._learn(self._words.taken())
         ids, counts = self._word_ids.stream(at)
         ends, out, lo = np.concatenate([[0], np.cumsum(counts)]), [], 0
@@ -126,6 +106,9 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         parts, other = [], []
         for w in words:
+            if w.isascii() and w.isalpha() and len(w) <= WORD_CHARS:  # most words; the pattern takes the rest
+                parts.append((self._cores[w.lower() if self._lowers else w], -1))
+                continue
             m = _SIMPLE.fullmatch(w) if len(w) <= WORD_CHARS else None
             if m:
                 core, mark = m.groups()
@@ -144,9 +127,9 @@ class WordEncoder:
         lengths, simple = np.zeros(len(words), np.int64), np.array([p is not None for p in parts], bool)
         lengths[simple], lengths[~simple] = sums, [len(x) for x in single]
         out, starts = np.empty(int(lengths.sum()), np.uint32), np.cumsum(lengths) - lengths
-        out[_spread(starts[simple], lengths[simple])] = ids
+        out[spread(starts[simple], lengths[simple])] = ids
         if single:
-            out[_spread(starts[~simple], lengths[~simple])] = np.concatenate(single)
+            out[spread(starts[~simple], lengths[~simple])] = np.concatenate(single)
         self._word_ids.add(out, lengths)
         self._chars += sum(map(len, words))
 
