@@ -11,7 +11,7 @@ over Spark tasks puts together the fragments of very long documents.
 
 Both tokenizers are sure to cut before a single space between two characters that are not
 white space (no token holds a space after another character), so a text is encoded in
-segments that start at such a space. Equal segments of a batch are encoded once.
+segments that start at such a space. A worker encodes equal segments once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyguard.llm.lookup import Slots, spread
 from tallyguard.llm.order import located
 from tallyguard.session import settle
 
 CHUNK_BYTES = 32_768  # byte range of one fragment
 FAN_IN = 16  # fragments composed by one step of the tree
-BATCH_CHARS = 16_000_000  # characters encoded together
+BATCH_CHARS = 3_000_000  # characters of texts handled together
+CACHE_SEGMENTS = 300_000  # segments a worker keeps before it starts afresh
 FREQUENT_PAIRS = 200_000  # id pairs of the broadcast table
 _JOINED = 2_000  # segments encoded in one call
 _WIDE = 4_096  # groups with more links are counted by distinct ids
@@ -93,14 +96,15 @@ class Tokenizers:
         return [e.ids for e in a], self._b.encode(parts, num_threads=1)
 
 
-_LOADED: dict[str, Tokenizers] = {}
+_LOADED: dict[str, _Segments] = {}
 
 
-def _tokenizers(specs: tuple[str, bytes]) -> Tokenizers:
+def _known(specs: tuple[str, bytes]) -> _Segments:
+    """The worker's tokenizers and the segments it has met."""
     key = hashlib.sha256(specs[0].encode() + specs[1]).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Tokenizers(*specs)
+        _LOADED[key] = _Segments(Tokenizers(*specs))
     return _LOADED[key]
 
 
@@ -174,60 +178,47 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-# --- one batch of texts -----------------------------------------------------------
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for every (start, length), one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+# --- segments and batches of texts --------------------------------------------------
+_PER_SEGMENT = ("same", "length", "n_a", "n_b", "n_groups", "n_links", "first_a", "first_b", "n_keys", "first_key")
+_FLAT = ("ids_a", "ids_b", "keys", "key_counts")
 
 
 class _Segments:
-    """Distinct segments of some texts, encoded and grouped."""
+    """Segments met by a worker, encoded and grouped once each.
 
-    def __init__(self, texts: list[str], tok: Tokenizers):
+    Per segment: whether it survives both tokenizers, bytes, tokens, groups, links, the
+    text of its groups, and where its tokens and id pairs lie in the flat arrays.
+    """
+
+    def __init__(self, tok: Tokenizers):
         self.tok = tok
+        self.reset()
+
+    def reset(self) -> None:
+        self.slots, self.texts, self._bytes = Slots(), [], 0
+        for name in _PER_SEGMENT + _FLAT:
+            setattr(self, name, np.empty(0, bool if name == "same" else np.int64))
+
+    def read(self, texts: list[str]) -> _Texts:
+        """The texts as segments; new segments are learned first."""
+        if len(self.slots) > CACHE_SEGMENTS or self._bytes > 64 * CACHE_SEGMENTS:
+            self.reset()
         split = [_CUT.split(t) for t in texts]
-        self.counts = np.array([len(s) for s in split], np.int64)
-        coded = pa.array([w for s in split for w in s], pa.large_string()).dictionary_encode()
-        self.at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.to_pylist()
-        self.size = len(words)
-        self._lengths = pc.binary_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        self._encode(words)
-        self._group()
-
-    def _encode(self, words: list[str]) -> None:
-        plain = [not (w[:1].isspace() or w[-1:].isspace() or not w or _SPACE in w) for w in words]
-        order = [i for i, p in enumerate(plain) if p]
-        parts = [order[i : i + _JOINED] for i in range(0, len(order), _JOINED)]
-        joined = [" ".join(words[i] for i in p) for p in parts]
-        a, b = self.tok.encode(joined)
-        self.same = np.ones(self.size, bool)
-        self.order, ids_a, ids_b = [], [], []
-        alone = [i for i, p in enumerate(plain) if not p]
-        for p, text, x, y in zip(parts, joined, a, b):
-            full = f" {text}".encode()
-            if self.tok.a.join(x) == full and self.tok.b.join(y) == full:
-                self.order += p
-                ids_a.append(x)
-                ids_b.append(y)
-            else:
-                alone += p
-        for i, x, y in zip(alone, *self.tok.encode([words[i] for i in alone])):
-            full = f" {words[i]}".encode()
-            if self.tok.a.join(x) == full and self.tok.b.join(y) == full:
-                self.order.append(i)
-                ids_a.append(x)
-                ids_b.append(y)
-            else:
-                self.same[i] = False
-        flat = lambda lists: np.fromiter((i for x in lists for i in x), np.int64)
-        self.ids_a, self.ids_b = flat(ids_a), flat(ids_b)
-
-    def _group(self) -> None:
-        order = np.array(self.order, np.int64)
-        ends_a, ends_b = np.cumsum(self.tok.a.lengths[self.ids_a]), np.cumsum(self.tok.b.lengths[self.ids_b])
-        seg_ends = np.cumsum(self._lengths[order])
+        counts = np.array([len(s) for s in split], np.int64)
+        at = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        del split
+        new = self.slots.taken()
+        if new:
+            self._learn(new)
+        return _Texts(self, counts, at)
+
+    def _learn(self, words: list[str]) -> None:
+        size = len(words)
+        length = np.array([len(w.encode()) + 1 for w in words], np.int64)
+        order, same, ids_a, ids_b = self._encode(words)
+        vocabulary_a, vocabulary_b = self.tok.a, self.tok.b
+        ends_a, ends_b = np.cumsum(vocabulary_a.lengths[ids_a]), np.cumsum(vocabulary_b.lengths[ids_b])
+        seg_ends = np.cumsum(length[order])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         last_a, last_b = np.searchsorted(ends_a, common) + 1, np.searchsorted(ends_b, common) + 1
         ga, gb = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)  # tokens per group
@@ -236,65 +227,88 @@ class _Segments:
         n = len(order)
 
         def placed(values: np.ndarray) -> np.ndarray:
-            out = np.zeros(self.size, np.int64)
+            out = np.zeros(size, np.int64)
             out[order] = values
             return out
 
-        per = lambda w: np.bincount(owner, w, n).astype(np.int64) if n else np.empty(0, np.int64)
-        self.n_a, self.n_b = placed(per(ga)), placed(per(gb))
-        self.n_groups, self.n_links = placed(per(np.ones(len(ga)))), placed(per(ga * gb))
-        # tokens of a segment, for the few that a byte range cuts
-        self.first_a = placed(np.cumsum(self.n_a[order]) - self.n_a[order])
-        self.first_b = placed(np.cumsum(self.n_b[order]) - self.n_b[order])
-        ta, tb = list(map(str, self.ids_a.tolist())), list(map(str, self.ids_b.tolist()))
-        texts = [
+        def per(weights) -> np.ndarray:
+            return np.bincount(owner, weights, n).astype(np.int64) if n else np.empty(0, np.int64)
+
+        def starts(counts: np.ndarray, flat: str) -> np.ndarray:
+            return placed(len(getattr(self, flat)) + np.cumsum(counts[order]) - counts[order])
+
+        found = {"same": same, "length": length, "n_a": placed(per(ga)), "n_b": placed(per(gb))}
+        found |= {"n_groups": placed(per(np.ones(len(ga)))), "n_links": placed(per(ga * gb))}
+        found |= {"first_a": starts(found["n_a"], "ids_a"), "first_b": starts(found["n_b"], "ids_b")}
+        keys, key_counts, n_keys = self._pairs(n, owner, ids_a, ids_b, sa, sb, ga, gb)
+        found["n_keys"] = placed(n_keys)
+        found["first_key"] = starts(found["n_keys"], "keys")
+        found |= {"ids_a": ids_a, "ids_b": ids_b, "keys": keys, "key_counts": key_counts}
+        for name, values in found.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        ta, tb = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        groups = [
             f"{ta[i]}|{tb[j]}" if x == 1 and y == 1 else f"{','.join(ta[i : i + x])}|{','.join(tb[j : j + y])}"
             for i, j, x, y in zip(sa.tolist(), sb.tolist(), ga.tolist(), gb.tolist())
         ]
-        self.texts, at = [""] * self.size, 0
-        for i, k in zip(self.order, self.n_groups[order].tolist()):
-            self.texts[i] = ";".join(texts[at : at + k])
+        texts, at = [""] * size, 0
+        for i, k in zip(order.tolist(), found["n_groups"][order].tolist()):
+            texts[i] = ";".join(groups[at : at + k])
             at += k
-        self._pairs(placed, order, owner, sa, sb, ga, gb)
+        self.texts += texts
+        self._bytes += int(length.sum())
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(order, same, ids of A, ids of B): ids of the segments in ``order``, one after the other."""
+        plain = [not (not w or w[0].isspace() or w[-1].isspace() or _SPACE in w) for w in words]
+        together = [i for i, p in enumerate(plain) if p]
+        parts = [together[i : i + _JOINED] for i in range(0, len(together), _JOINED)]
+        joined = [" ".join(words[i] for i in p) for p in parts]
+        same, order, ids_a, ids_b = np.ones(len(words), bool), [], [], []
+        alone = [i for i, p in enumerate(plain) if not p]
 
-    def _pairs(self, placed, order, owner, sa, sb, ga, gb) -> None:
+        def survives(text: str, a: list[int], b: list[int]) -> bool:
+            full = f" {text}".encode()
+            return self.tok.a.join(a) == full and self.tok.b.join(b) == full
+
+        for p, text, a, b in zip(parts, joined, *self.tok.encode(joined)):
+            if survives(text, a, b):
+                order += p
+                ids_a.append(a)
+                ids_b.append(b)
+            else:
+                alone += p
+        for i, a, b in zip(alone, *self.tok.encode([words[i] for i in alone])):
+            same[i] = survives(words[i], a, b)
+            if same[i]:
+                order.append(i)
+                ids_a.append(a)
+                ids_b.append(b)
+        flat = lambda lists: np.fromiter(chain.from_iterable(lists), np.int64)
+        return np.array(order, np.int64), same, flat(ids_a), flat(ids_b)
+
+    def _pairs(self, n: int, owner, ids_a, ids_b, sa, sb, ga, gb) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Id pairs of the groups with their links, segment by segment, and how many each has."""
         links, size_b = ga * gb, self.tok.b.size
         some = np.flatnonzero(links <= _WIDE)
         of = np.repeat(some, links[some])
-        nth = _spread(np.zeros(len(some), np.int64), links[some])
-        keys = [self.ids_a[sa[of] + nth // gb[of]] * size_b + self.ids_b[sb[of] + nth % gb[of]]]
+        nth = spread(np.zeros(len(some), np.int64), links[some])
+        keys = [ids_a[sa[of] + nth // gb[of]] * size_b + ids_b[sb[of] + nth % gb[of]]]
         segs, counts = [owner[of]], [np.ones(len(of), np.int64)]
         for g in np.flatnonzero(links > _WIDE):
-            wide = _close(self.ids_a[sa[g] : sa[g] + ga[g]].tolist(), self.ids_b[sb[g] : sb[g] + gb[g]].tolist(), size_b)
+            wide = _close(ids_a[sa[g] : sa[g] + ga[g]].tolist(), ids_b[sb[g] : sb[g] + gb[g]].tolist(), size_b)
             keys.append(wide.pairs[0][0])
             counts.append(wide.pairs[0][1])
             segs.append(np.full(len(keys[-1]), owner[g]))
         keys, counts, segs = np.concatenate(keys), np.concatenate(counts), np.concatenate(segs)
         by = np.argsort(segs, kind="stable")
-        self.keys, self.key_counts = keys[by], counts[by]
-        n = np.bincount(segs, minlength=len(order)) if len(order) else np.empty(0, np.int64)
-        self.n_keys, self.first_key = placed(n), placed(np.cumsum(n) - n)
-
-    # -- texts --
-    def text_sums(self, per_segment: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(per_segment[self.at], np.cumsum(self.counts) - self.counts) if len(self.at) else np.empty(0, np.int64)
-
-    def text_pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, key, count), ordered by text and key, each once."""
-        text = np.repeat(np.arange(len(self.counts)), self.counts)
-        used, times = np.unique(text * self.size + self.at, return_counts=True)
-        text, seg = used // self.size, used % self.size
-        rows = _spread(self.first_key[seg], self.n_keys[seg])
-        n = self.n_keys[seg]
-        span = self.tok.a.size * self.tok.b.size
-        both, counts = _sum_by(np.repeat(text, n) * span + self.keys[rows], self.key_counts[rows] * np.repeat(times, n))
-        return both // span, both % span, counts
+        return keys[by], counts[by], np.bincount(segs, minlength=n) if n else np.empty(0, np.int64)
 
     def run(self, segs: np.ndarray) -> Fragment:
         """The closed fragment of whole segments in a row."""
         if not len(segs):
             return Fragment()
-        rows, n = _spread(self.first_key[segs], self.n_keys[segs]), self.n_keys
+        rows, n = spread(self.first_key[segs], self.n_keys[segs]), self.n_keys
         return Fragment(
             True, [], [], [self.texts[i] for i in segs.tolist()], int(self.n_groups[segs].sum()),
             int(self.n_links[segs].sum()), int(self.n_a[segs].sum()), int(self.n_b[segs].sum()),
@@ -307,7 +321,7 @@ class _Segments:
         b = self.ids_b[self.first_b[seg] : self.first_b[seg] + self.n_b[seg]]
         ends_a, ends_b = np.cumsum(self.tok.a.lengths[a]), np.cumsum(self.tok.b.lengths[b])
         out, lo = [], 0
-        for hi in [*limits, int(self._lengths[seg])]:
+        for hi in [*limits, int(self.length[seg])]:
             in_a, in_b = (ends_a > lo) & (ends_a <= hi), (ends_b > lo) & (ends_b <= hi)
             part = _fragment(a[in_a], ends_a[in_a], b[in_b], ends_b[in_b], self.tok.b.size)
             out.append(compose(Fragment(cut=True), part, self.tok.b.size) if not out else part)
@@ -315,6 +329,29 @@ class _Segments:
         return out
 
 
+class _Texts:
+    """Some texts as rows of segment numbers."""
+
+    def __init__(self, segments: _Segments, counts: np.ndarray, at: np.ndarray):
+        self.segments, self.counts, self.at = segments, counts, at
+        self.starts = np.cumsum(counts) - counts
+
+    def sums(self, per_segment: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(per_segment[self.at], self.starts) if len(self.at) else np.empty(0, np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text number, key, count), ordered by text and key, each once."""
+        s = self.segments
+        text = np.repeat(np.arange(len(self.counts)), self.counts)
+        used, times = np.unique(text * len(s.texts) + self.at, return_counts=True) if len(text) else (text, text)
+        text, seg = used // max(len(s.texts), 1), used % max(len(s.texts), 1)
+        n = s.n_keys[seg]
+        rows = spread(s.first_key[seg], n)
+        span = s.tok.a.size * s.tok.b.size
+        both, counts = _sum_by(np.repeat(text, n) * span + s.keys[rows], s.key_counts[rows] * np.repeat(times, n))
+        return both // span, both % span, counts
+
+
 def _fragment(a, ends_a, b, ends_b, size_b: int) -> Fragment:
     """The fragment of tokens given by ids and end offsets, ascending."""
     common = np.intersect1d(ends_a, ends_b, assume_unique=True)
@@ -360,26 +397,25 @@ def _batches(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
 
 def _align_short(keys: list[str], shared, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizers(shared.value)
+        known = _known(shared.value)
         for rows in _batches(batches, [*keys, "text"]):
             texts = rows["text"]
             n, some = len(texts), [i for i, t in enumerate(texts) if t]
-            found = _Segments([texts[i] for i in some], tok)
-            fine = found.text_sums((~found.same).astype(np.int64)) == 0
-            text, key, count = found.text_pairs()
+            found = known.read([texts[i] for i in some])
+            fine = found.sums((~known.same).astype(np.int64)) == 0
+            text, key, count = found.pairs()
             held = fine[text]
             text, key, count = text[held], key[held], count[held]
             place = np.array(some, np.int64)
             sums = []
-            for v in (found.n_a, found.n_b, found.n_groups, found.n_links):
+            for v in (known.n_a, known.n_b, known.n_groups, known.n_links):
                 column = np.zeros(n, np.int64)
-                column[place] = found.text_sums(v) * fine
+                column[place] = found.sums(v) * fine
                 sums.append(pa.array(column))
-            groups, starts = [""] * n, np.cumsum(found.counts) - found.counts
-            at = found.at.tolist()
-            for i, lo, k, ok in zip(some, starts.tolist(), found.counts.tolist(), fine.tolist()):
+            groups = [""] * n
+            for i, lo, k, ok in zip(some, found.starts.tolist(), found.counts.tolist(), fine.tolist()):
                 if ok:
-                    joined = ";".join([found.texts[s] for s in at[lo : lo + k]])
+                    joined = ";".join([known.texts[s] for s in found.at[lo : lo + k].tolist()])
                     groups[i] = hashlib.sha256(joined.encode()).hexdigest() if digest else joined
             sizes = np.bincount(place[text], minlength=n)
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -454,20 +490,20 @@ def _read(rows: dict[str, list], i: int) -> Fragment:
     )
 
 
-def span_fragments(found: _Segments, segs: np.ndarray, offset: int, chunk_bytes: int) -> list[Fragment]:
+def span_fragments(known: _Segments, segs: np.ndarray, offset: int, chunk_bytes: int) -> list[Fragment]:
     """Fragments of one span, cut where byte ranges of ``chunk_bytes`` of its text end."""
-    size_b, ends = found.tok.b.size, offset + np.cumsum(found._lengths[segs])
+    size_b, ends = known.tok.b.size, offset + np.cumsum(known.length[segs])
     out, now, lo = [], Fragment(cut=True), 0
     limit = (offset // chunk_bytes + 1) * chunk_bytes
     while lo < len(segs):
         hi = int(np.searchsorted(ends, limit, side="right"))  # segments that end within the range
-        now = compose(now, found.run(segs[lo:hi]), size_b)
+        now = compose(now, known.run(segs[lo:hi]), size_b)
         lo = hi
         if lo == len(segs):
             break
-        start, stop = int(ends[lo] - found._lengths[segs[lo]]), int(ends[lo])
+        start, stop = int(ends[lo] - known.length[segs[lo]]), int(ends[lo])
         limits = list(range(limit, stop, chunk_bytes))
-        parts = found.pieces(int(segs[lo]), [x - start for x in limits if x > start])
+        parts = known.pieces(int(segs[lo]), [x - start for x in limits if x > start])
         if start == limit:  # the range ends between two segments
             out, now = [*out, now], Fragment()
         now = compose(now, parts[0], size_b)
@@ -479,14 +515,13 @@ def span_fragments(found: _Segments, segs: np.ndarray, offset: int, chunk_bytes:
 
 def _fragments(keys: list[str], shared, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizers(shared.value)
+        known = _known(shared.value)
         for rows in _batches(batches, [*keys, "span", "offset", "text"]):
-            found = _Segments(rows["text"], tok)
-            starts, out = np.cumsum(found.counts) - found.counts, []
-            for i, (lo, k) in enumerate(zip(starts.tolist(), found.counts.tolist())):
+            found, out = known.read(rows["text"]), []
+            for i, (lo, k) in enumerate(zip(found.starts.tolist(), found.counts.tolist())):
                 segs = found.at[lo : lo + k]
-                same = bool(found.same[segs].all())
-                parts = span_fragments(found, segs, rows["offset"][i], chunk_bytes) if same else [Fragment()]
+                same = bool(known.same[segs].all())
+                parts = span_fragments(known, segs, rows["offset"][i], chunk_bytes) if same else [Fragment()]
                 name = [rows[c][i] for c in keys]
                 out += [(name, rows["span"][i], j, same, p) for j, p in enumerate(parts)]
             yield _written(keys, out)
@@ -532,7 +567,7 @@ def group_tokens(
         spec_a = f.read()
     with open(path_b, "rb") as f:
         spec_b = f.read()
-    size_b = _tokenizers((spec_a, spec_b)).b.size
+    size_b = _known((spec_a, spec_b)).tok.b.size
     shared = spark.sparkContext.broadcast((spec_a, spec_b))
     small = spark.sparkContext.broadcast((None, None, size_b))
     named = ", ".join(f"{k} bigint" for k in keys)
