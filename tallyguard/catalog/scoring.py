@@ -260,15 +260,15 @@ _DELTAS = """deltas AS (SELECT sender_id, us, seq, least(amount / 500.0, 1.0) AS
   FROM tx WHERE fraud_flag = 1), reads AS (SELECT seq, sender_id, us FROM tx WHERE fraud_flag = 0)"""
 
 
-def _deltas(df):
+def _deltas(df, *extra):
     return df.where("fraud_flag = 1").select(
-        "sender_id", "us", "seq", F.least(F.col("amount") / 500.0, F.lit(1.0)).alias("risk_delta"),
+        "sender_id", "us", "seq", *extra, F.least(F.col("amount") / 500.0, F.lit(1.0)).alias("risk_delta"),
         F.concat(F.lit("r"), (F.col("seq") % 7).cast("string")).alias("reason"),
     )
 
 
-def _reads(df):
-    return df.where("fraud_flag = 0").select("seq", "sender_id", "us")
+def _reads(df, *extra):
+    return df.where("fraud_flag = 0").select("seq", "sender_id", "us", *extra)
 
 
 _ASOF = f"""SELECT r.seq, CASE WHEN r.us // 1000000 - d.us // 1000000 <= {TTL} THEN round(d.risk_delta, 6) ELSE 0.0 END AS graph_delta,

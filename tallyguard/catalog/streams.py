@@ -81,6 +81,37 @@ def t01(spark, sf):
     return out.select("seq", *names, z.alias("device_amount_zscore_24h"))
 
 
+def _shuffled(spark, sf):
+    """Rows whose arrival differs from their times by up to nine minutes, then one that moves the watermark on."""
+    rows = hourly(tx(spark, sf)).select("seq", "ts", "us", "sender_id", "receiver_id", "amount")
+    rows = rows.withColumn("us", F.col("us") + F.col("seq") * 7919 % 3_600 * 1_000_000).withColumn("ts", F.timestamp_micros("us"))
+    end = rows.agg(F.max("us").alias("us")).select(
+        F.lit(-1).cast("bigint").alias("seq"), (F.col("us") + 4 * D1).alias("us"), F.lit("end").alias("sender_id"),
+        F.lit("end").alias("receiver_id"), F.lit(0.0).alias("amount"),
+    ).withColumn("ts", F.timestamp_micros("us"))
+    arrival = F.col("us") + F.col("seq") * 104_729 % 540 * 1_000_000
+    return rows.withColumn("at", arrival).unionByName(end.withColumn("at", F.col("us")))
+
+
+@query(
+    "t01_shuffled_arrival",
+    f"""SELECT seq, {_row_cnt('sender_id', M10, 'device_txn_count_10m')}, {_row_cnt('sender_id', D1, 'device_txn_count_24h')},
+      {_row_cnt('receiver_id', H1, 'receiver_txn_count_1h')}, {_row_cnt('receiver_id', D1, 'receiver_txn_count_24h')},
+      CASE WHEN row_number() OVER (PARTITION BY sender_id ORDER BY us, seq) = 1 THEN 1 ELSE 0 END AS is_new_device,
+      CASE WHEN row_number() OVER (PARTITION BY receiver_id ORDER BY us, seq) = 1 THEN 1 ELSE 0 END AS is_new_receiver FROM sh""",
+    TIES + ", sh AS (SELECT * REPLACE (us + seq * 7919 % 3600 * 1000000 AS us) FROM th)",
+)
+def t01_shuffled(spark, sf):
+    """Rows that arrive out of order are held until the watermark and get the batch features."""
+    path = scratch_path(spark, "replay-shuffled")
+    rows = _shuffled(spark, sf)
+    write_replay(rows, path, 12, us="at")
+    stream = stateful_features(read_replay(spark, path, rows.schema), *GLOBAL, hold=True)
+    names = ["device_txn_count_10m", "device_txn_count_24h", "receiver_txn_count_1h", "receiver_txn_count_24h"]
+    out = run_to_table(stream, "shuffled").where("seq >= 0")
+    return out.select("seq", *names, "is_new_device", "is_new_receiver")
+
+
 @query(
     "t02_cold_start_state",
     """SELECT seq, CASE WHEN row_number() OVER (PARTITION BY sender_id ORDER BY us, seq) = 1 THEN 1 ELSE 0 END AS is_new_device,
@@ -129,23 +160,32 @@ def t04(spark, sf):
         CASE WHEN r.sec - w.start >= 86400 THEN 1 WHEN w.used < 2 THEN w.used + 1 ELSE w.used END,
         r.sec - w.start >= 86400 OR w.used < 2
       FROM walk w JOIN req r ON r.sender_id = w.sender_id AND r.rn = w.rn + 1)
-    SELECT seq, allowed FROM walk""",
+    SELECT seq, allowed, CASE WHEN allowed THEN 0 ELSE 86400 - (sec - start) END AS retry_after_s FROM walk""",
     "RECURSIVE " + TX + """, req AS (SELECT sender_id, seq, us // 1000000 AS sec,
       row_number() OVER (PARTITION BY sender_id ORDER BY us, seq) AS rn FROM tx)""",
 )
 def t05_stream(spark, sf):
-    rows = tx(spark, sf).select("seq", "us", "sender_id")
-    out = run_to_table(rate_limit_stream(_replayed(rows, "requests"), "sender_id", 2, 86_400), "rate")
-    return out.select("seq", "allowed")
+    rows = tx(spark, sf).select("seq", "us", "ts", "sender_id")
+    out = run_to_table(rate_limit_stream(_replayed(rows, "requests"), "sender_id", 2, 86_400, "ts"), "rate")
+    return out.select("seq", "allowed", "retry_after_s")
 
 
-@query("t06_ttl_cache_stream", _ASOF, TX + ", " + _DELTAS)
+@query(
+    "t06_ttl_cache_stream",
+    f"""SELECT a.seq, a.graph_delta, a.graph_reason, CASE WHEN age IS NULL THEN 'miss' WHEN age <= {TTL} THEN 'hit'
+      WHEN age <= {2 * TTL} AND row_number() OVER (PARTITION BY sender_id, w, age > {TTL} ORDER BY us, seq) = 1 THEN 'expired'
+      ELSE 'miss' END AS outcome
+    FROM ({_ASOF}) a JOIN (SELECT r.seq, r.sender_id, r.us, d.us AS w, r.us // 1000000 - d.us // 1000000 AS age
+      FROM reads r ASOF LEFT JOIN deltas d ON r.sender_id = d.sender_id AND r.us >= d.us) b USING (seq)""",
+    TX + ", " + _DELTAS,
+)
 def t06(spark, sf):
-    rows = tx(spark, sf).select("seq", "us", "sender_id", "amount", "fraud_flag")
+    rows = tx(spark, sf).select("seq", "us", "ts", "sender_id", "amount", "fraud_flag")
     stream = _replayed(rows, "cache")
-    answered = risk_cache_stream(_reads(stream), _deltas(stream), "sender_id", TTL)
+    writes = _deltas(stream, "ts")
+    answered = risk_cache_stream(_reads(stream, "ts"), writes, "sender_id", TTL, "ts")
     return run_to_table(answered, "cache").select(
-        "seq", r6("graph_delta").alias("graph_delta"), "graph_reason"
+        "seq", r6("graph_delta").alias("graph_delta"), "graph_reason", "outcome"
     )
 
 

@@ -13,7 +13,8 @@ from tallyguard.operators.graph import WINDOW_EDGES, detections, last_edges, nod
 from tallyguard.operators.selection import order_statistics
 from tallyguard.plans.live import topology_flags
 from tallyguard.session import scratch_path
-from tallyguard.streaming.state import RateWindow, ReceiverFeatures, RiskCache, SenderFeatures
+from tallyguard.streaming.panes import ReceiverFeatures, SenderFeatures
+from tallyguard.streaming.state import RateWindow, RiskCache
 
 WATERMARK = "10 minutes"
 
@@ -43,28 +44,42 @@ def read_replay(
     )
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drain the available input into a parquet table and return it."""
+def run_to_table(
+    stream: DataFrame, label: str, mode: str = "append", folder: str | None = None
+) -> DataFrame:
+    """Drain the available input into a parquet table and return it.
+
+    ``folder`` keeps the table and the checkpoint (``data`` and ``checkpoint`` in it): a
+    later call with the same folder goes on where the last one ended. Without it both
+    are new.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    folder = folder or scratch_path(spark, label)
     query = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint"))
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
-        .start(out)
+        .start(f"{folder}/data")
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/data")
 
 
 def run_batches(
-    stream: DataFrame, label: str, each: Callable[[DataFrame, int], None], mode: str = "append"
+    stream: DataFrame,
+    label: str,
+    each: Callable[[DataFrame, int], None],
+    mode: str = "append",
+    checkpoint: str | None = None,
 ) -> None:
-    """Drain the available input through ``each(batch, id)``."""
+    """Drain the available input through ``each(batch, id)``.
+
+    With a ``checkpoint`` folder a later call goes on with the next batch id.
+    """
     query = (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, f"{label}-checkpoint"))
+        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, f"{label}-checkpoint"))
         .trigger(availableNow=True)
         .foreachBatch(each)
         .start()
@@ -96,10 +111,17 @@ def stateful_features(
     sender: str = "sender_id",
     receiver: str = "receiver_id",
     ts: str = "ts",
+    hold: bool = False,
 ) -> DataFrame:
-    """Sender pass, then receiver pass; features see only earlier rows."""
+    """Sender pass, then receiver pass; features see only earlier rows.
+
+    With ``hold`` a row comes out when the watermark has passed it, with the features of
+    the batch windows whatever the order of arrival within the watermark. Without it a
+    row comes out at once, and a late one is put in its place.
+    """
     timed = stream.withWatermark(ts, WATERMARK)
-    by_sender = _keyed(timed, sender, SenderFeatures(mean, std), ts)
+    by_sender = _keyed(timed, sender, SenderFeatures(mean, std, hold), ts)
+    # what the sender pass lets out together is complete up to the watermark
     return _keyed(by_sender, receiver, ReceiverFeatures(sender), ts)
 
 
@@ -108,28 +130,50 @@ def topology_stream(features: DataFrame) -> DataFrame:
     return topology_flags(features, "receiver_unique_senders_10m", "device_txn_count_10m")
 
 
-def rate_limit_stream(stream: DataFrame, key: str, max_requests: int, window_s: int) -> DataFrame:
-    return _keyed(stream, key, RateWindow(max_requests, window_s))
+def rate_limit_stream(
+    stream: DataFrame, key: str, max_requests: int, window_s: int, ts: str | None = None
+) -> DataFrame:
+    """Requests with ``allowed`` and ``retry_after_s``.
 
+    With an event time ``ts`` a window's state is removed once the watermark has passed
+    its end, which no later request can tell from a window that is over.
+    """
+    timed = stream.withWatermark(ts, WATERMARK) if ts else stream
+    return _keyed(timed, key, RateWindow(max_requests, window_s, bool(ts)), ts)
 
-def risk_cache_stream(reads: DataFrame, writes: DataFrame, key: str, ttl_s: int) -> DataFrame:
-    """Reads answered from the last write of their key within the time limit."""
-    left = writes.select(key, "us", "seq", F.lit(0).alias("kind"), "risk_delta", "reason")
+
+def risk_cache_stream(
+    reads: DataFrame, writes: DataFrame, key: str, ttl_s: int, ts: str | None = None
+) -> DataFrame:
+    """Reads answered from the last write of their key within the time limit.
+
+    With an event time ``ts`` (in both streams) entries are removed once the watermark is
+    past twice the time limit.
+    """
+    time = [ts] if ts else []
+    left = writes.select(key, "us", "seq", *time, F.lit(0).alias("kind"), "risk_delta", "reason")
     right = reads.select(
         key,
         "us",
         "seq",
+        *time,
         F.lit(1).alias("kind"),
         F.lit(None).cast("double").alias("risk_delta"),
         F.lit(None).cast("string").alias("reason"),
     )
-    answered = _keyed(left.unionByName(right), key, RiskCache(ttl_s))
-    return answered.drop("kind", "risk_delta", "reason")
+    both = left.unionByName(right)
+    timed = both.withWatermark(ts, WATERMARK) if ts else both
+    answered = _keyed(timed, key, RiskCache(ttl_s, bool(ts)), ts)
+    return answered.drop("kind", "risk_delta", "reason", *time)
 
 
 # --- stateless and built-in stateful ---------------------------------------------
 def dedupe_stream(stream: DataFrame, key: str) -> DataFrame:
-    """First row of every key; keys are kept for good, so that no later repeat comes through."""
+    """First row of every key; keys are kept for good, so that no later repeat comes through.
+
+    The state grows with the number of keys. Where repeats come within the watermark only,
+    ``dropDuplicatesWithinWatermark`` bounds it.
+    """
     return stream.dropDuplicates([key])
 
 
@@ -146,7 +190,11 @@ def verdict_count_stream(stream: DataFrame) -> DataFrame:
 
 
 def verdict_minutes(stream: DataFrame, ts: str = "ts", width: str = "1 minute") -> DataFrame:
-    """Count per verdict and tumbling window (update or complete mode)."""
+    """Count per verdict and tumbling window (update or complete mode).
+
+    Without a watermark on ``stream`` every minute stays in state; with one, minutes that
+    the watermark has passed are dropped (update mode).
+    """
     return (
         stream.groupBy(F.window(ts, width), "verdict")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -154,31 +202,34 @@ def verdict_minutes(stream: DataFrame, ts: str = "ts", width: str = "1 minute")
 
 
 # --- foreachBatch jobs --------------------------------------------------------------
-def graph_window_job(stream: DataFrame, deltas_path: str, size: int = WINDOW_EDGES) -> None:
+def graph_window_job(
+    stream: DataFrame, deltas_path: str, size: int = WINDOW_EDGES, folder: str | None = None
+) -> None:
     """Keep the newest ``size`` edges across batches and publish node risk per batch.
 
     Eviction counts edges of all nodes, so it is not keyed: each batch is reduced
     to its own newest edges and merged with the bounded window table. Windows
-    are written per batch id, so a repeated batch starts from the same state.
+    are written per batch id, so a repeated batch starts from the same state. ``folder``
+    keeps the windows and the checkpoint; a later call with it goes on from there.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, "graph-window")
+    base = folder or scratch_path(spark, "graph-window")
     schema = stream.select("src", "dst", "us", "seq").schema
 
     def each(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.select("src", "dst", "us", "seq")
         if batch_id:
-            kept = spark.read.schema(schema).parquet(f"{base}/{batch_id - 1}")
+            kept = spark.read.schema(schema).parquet(f"{base}/windows/{batch_id - 1}")
             fresh = last_edges(fresh, size).unionByName(kept)
-        last_edges(fresh, size).write.mode("overwrite").parquet(f"{base}/{batch_id}")
-        window = spark.read.schema(schema).parquet(f"{base}/{batch_id}")
+        last_edges(fresh, size).write.mode("overwrite").parquet(f"{base}/windows/{batch_id}")
+        window = spark.read.schema(schema).parquet(f"{base}/windows/{batch_id}")
         risk = node_risk(detections(window)).withColumn("batch", F.lit(batch_id))
         risk.write.mode("overwrite").parquet(f"{deltas_path}/batch={batch_id}")
 
-    run_batches(stream, "graph-window", each)
+    run_batches(stream, "graph-window", each, checkpoint=f"{base}/checkpoint")
 
 
-def audit_job(stream: DataFrame, path: str, event: str) -> None:
+def audit_job(stream: DataFrame, path: str, event: str, checkpoint: str | None = None) -> None:
     """Append audit lines of each micro-batch; a repeated batch overwrites its own."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -186,7 +237,7 @@ def audit_job(stream: DataFrame, path: str, event: str) -> None:
         line = F.to_json(F.struct(F.lit(event).alias("event"), *batch.columns))
         batch.select(line.alias("value")).write.mode("overwrite").text(target)
 
-    run_batches(stream, "audit", each)
+    run_batches(stream, "audit", each, checkpoint=checkpoint)
 
 
 def policy_job(stream: DataFrame, policies: Callable[[int], DataFrame], out: str) -> None:

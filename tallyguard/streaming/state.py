@@ -1,8 +1,9 @@
-"""Keyed state processors: sliding features, rate windows, time-limited risk deltas.
+"""Keyed state processors of single entries: anchored rate windows, time-limited risk deltas.
 
-Each processor sorts the rows of its key in a micro-batch by (us, seq), so the
-results equal the batch operators when micro-batches arrive in time order. Rows
-are worked on as numpy arrays; state holds at most the longest window.
+Each processor sorts the rows of its key in a micro-batch by (us, seq), so the results
+equal the batch operators when micro-batches arrive in time order. Rows are worked on as
+arrays. With an event time, an entry that no row to come can still use is removed when the
+watermark has passed it; without one it stays until the key is seen again.
 """
 
 from __future__ import annotations
@@ -13,16 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
-from tallyguard.schema import DAY, EPSILON, HOUR, MICROS, MINUTE
-
-
-def _sorted_rows(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = [r for r in rows if len(r)]
-    if not parts:
-        return pd.DataFrame()
-    return pd.concat(parts, ignore_index=True).sort_values(
-        ["us", "seq"], kind="stable", ignore_index=True
-    )
+from tallyguard.schema import MICROS
 
 
 def counts_since(times: np.ndarray, start: int, window: int) -> np.ndarray:
@@ -31,41 +23,42 @@ def counts_since(times: np.ndarray, start: int, window: int) -> np.ndarray:
     return index - np.searchsorted(times, times[start:] - window, "left")
 
 
-class _History(StatefulProcessor):
-    """24 hours of (us, value) per key, a seen flag, and a timer that drops idle history."""
+class _Expiring(StatefulProcessor):
+    """One entry per key with at most one event-time timer."""
+
+    entry = ""
 
-    value_type = "double"
+    def __init__(self, timed: bool) -> None:
+        self._timed = timed
 
     def init(self, handle) -> None:
         self._handle = handle
-        self._past = handle.getListState("past", f"us bigint, value {self.value_type}")
-        self._seen = handle.getValueState("seen", "flag boolean")
+        self._state = handle.getValueState("entry", self.entry)
         self._timer = handle.getValueState("timer", "at_ms bigint")
 
-    def _load(self, oldest: int) -> list[tuple]:
-        if not self._past.exists():
-            return []
-        return [row for row in self._past.get() if row[0] >= oldest]
+    def _rows(self, rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
+        parts = [r for r in rows if len(r)]
+        if not parts:
+            return pd.DataFrame()
+        return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
 
-    def _store(self, times: np.ndarray, values: np.ndarray) -> None:
-        keep = times >= times[-1] - DAY
-        self._past.put([(int(t), v) for t, v in zip(times[keep], values[keep].tolist())])
+    def _keep(self, entry: tuple | None, until_s: int) -> None:
+        """Stores the entry, to be removed when the watermark has passed ``until_s``."""
+        if entry is None:
+            self._state.clear()
+        else:
+            self._state.update(entry)
+        if not self._timed:
+            return
         if self._timer.exists():
             self._handle.deleteTimer(int(self._timer.get()[0]))
-        at_ms = int((times[-1] + DAY) // 1000) + 1
-        self._timer.update((at_ms,))
-        self._handle.registerTimer(at_ms)
-
-    def _first(self) -> bool:
-        first = not self._seen.exists()
-        if first:
-            self._seen.update((True,))
-        return first
+            self._timer.clear()
+        if entry is not None:
+            self._timer.update((until_s * 1000,))
+            self._handle.registerTimer(until_s * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        cutoff = (expiredTimerInfo.getExpiryTimeInMs() - 1) * 1000 - DAY
-        if not [r for r in self._past.get() if r[0] > cutoff + 1000]:
-            self._past.clear()
+        self._state.clear()
         self._timer.clear()
         return iter([])
 
@@ -73,175 +66,111 @@ class _History(StatefulProcessor):
         pass
 
 
-class SenderFeatures(_History):
-    """Velocity counts, live z-score and first-seen flag of a sender."""
+def anchored_window(
+    seconds: np.ndarray, used: int, start: int, most: int, window: int
+) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(allowed, wait, used, start) for requests in time order; one step per window, not per request.
 
-    value_type = "double"
-    fields = (
-        "device_txn_count_10m bigint, device_txn_count_1h bigint, device_txn_count_6h bigint, "
-        "device_txn_count_24h bigint, device_amount_zscore_24h double, is_new_device int"
-    )
-
-    def __init__(self, mean: float, std: float) -> None:
-        self._global = (mean, std)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _sorted_rows(rows)
-        if new.empty:
-            return
-        past = self._load(int(new["us"].iloc[0]) - DAY)
-        start = len(past)
-        times = np.concatenate([np.array([p[0] for p in past], dtype=np.int64), new["us"]])
-        values = np.concatenate([np.array([p[1] for p in past], dtype=float), new["amount"]])
-        for name, window in (("10m", 10 * MINUTE), ("1h", HOUR), ("6h", 6 * HOUR), ("24h", DAY)):
-            new[f"device_txn_count_{name}"] = counts_since(times, start, window)
-        new["device_amount_zscore_24h"] = self._zscores(values, start, new["device_txn_count_24h"])
-        flags = np.zeros(len(new), dtype=np.int32)
-        flags[0] = int(self._first())
-        new["is_new_device"] = flags
-        self._store(times, values)
-        yield new
-
-    def _zscores(self, values: np.ndarray, start: int, counts) -> np.ndarray:
-        shift = values.mean()
-        x = values - shift
-        s = np.concatenate([[0.0], np.cumsum(x)])
-        q = np.concatenate([[0.0], np.cumsum(x * x)])
-        hi = np.arange(start, len(values))
-        n = np.asarray(counts)
-        lo = hi - n
-        total, square = s[hi] - s[lo], q[hi] - q[lo]
-        safe = np.maximum(n, 1)
-        mean = shift + total / safe
-        m2 = np.maximum(square - total * total / safe, 0.0)
-        spread = np.where(n > 1, np.sqrt(m2 / np.maximum(n - 1, 1)), EPSILON)
-        mean = np.where(n == 0, self._global[0], mean)
-        # One prior row: its own amount, free of rounding.
-        mean = np.where(n == 1, values[np.maximum(hi - 1, 0)], mean)
-        spread = np.where(n == 0, self._global[1], spread)
-        return (values[start:] - mean) / (spread + EPSILON)
-
-
-class ReceiverFeatures(_History):
-    """Counts, distinct senders, first-seen flag and fan-in rule of a receiver."""
-
-    value_type = "string"
-    fields = (
-        "receiver_txn_count_1h bigint, receiver_txn_count_24h bigint, "
-        "receiver_unique_senders_10m bigint, receiver_unique_senders_1h bigint, "
-        "is_new_receiver int"
-    )
-
-    def __init__(self, sender: str) -> None:
-        self._sender = sender
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _sorted_rows(rows)
-        if new.empty:
-            return
-        past = self._load(int(new["us"].iloc[0]) - DAY)
-        start = len(past)
-        times = np.concatenate([np.array([p[0] for p in past], dtype=np.int64), new["us"]])
-        senders = np.array([p[1] for p in past] + new[self._sender].tolist(), dtype=object)
-        new["receiver_txn_count_1h"] = counts_since(times, start, HOUR)
-        new["receiver_txn_count_24h"] = counts_since(times, start, DAY)
-        for name, window in (("10m", 10 * MINUTE), ("1h", HOUR)):
-            new[f"receiver_unique_senders_{name}"] = distinct_since(times, senders, start, window)
-        flags = np.zeros(len(new), dtype=np.int32)
-        flags[0] = int(self._first())
-        new["is_new_receiver"] = flags
-        self._store(times, senders)
-        yield new
-
-
-def distinct_since(
-    times: np.ndarray, items: np.ndarray, start: int, window: int
-) -> np.ndarray:
-    """Distinct items before each row within ``window``, earlier ties included.
-
-    Counts spans that opened before the row minus spans that closed before its
-    time; a span closes ``window`` after an item's last occurrence.
+    A window starts at the first request that finds the one before over, and lets its first
+    ``most`` requests through.
     """
-    frame = pd.DataFrame({"t": times, "i": items})
-    by_item = frame.groupby("i", sort=False)["t"]
-    before = frame["t"] - by_item.shift(1)
-    after = by_item.shift(-1) - frame["t"]
-    opens = np.concatenate([[0], np.cumsum(~(before <= window).to_numpy())])
-    closes = np.sort(times[~(after <= window).to_numpy()] + window)
-    at = np.arange(start, len(times))
-    return opens[at] - np.searchsorted(closes, times[start:], "left")
-
-
-class RateWindow(StatefulProcessor):
+    allowed, wait, at = np.zeros(len(seconds), bool), np.zeros(len(seconds), np.int64), 0
+    while at < len(seconds):
+        if seconds[at] - start >= window:
+            used, start = 0, int(seconds[at])
+        end = int(np.searchsorted(seconds, start + window, "left"))
+        some = min(max(most - used, 0), end - at)
+        allowed[at : at + some] = True
+        wait[at + some : end] = np.maximum(0, window - (seconds[at + some : end] - start))
+        used, at = used + some, end
+    return allowed, wait, used, start
+
+
+class RateWindow(_Expiring):
     """Anchored request window of a key: (requests used, window start)."""
 
     fields = "allowed boolean, retry_after_s bigint"
+    entry = "used bigint, start bigint"
 
-    def __init__(self, max_requests: int, window_s: int) -> None:
+    def __init__(self, max_requests: int, window_s: int, timed: bool = False) -> None:
+        super().__init__(timed)
         self._max, self._window = max_requests, window_s
 
-    def init(self, handle) -> None:
-        self._state = handle.getValueState("window", "used bigint, start bigint")
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = _sorted_rows(rows)
+        new = self._rows(rows, ["us", "seq"])
         if new.empty:
             return
-        seconds = (new["us"] // MICROS).tolist()
-        used, start = self._state.get() if self._state.exists() else (0, seconds[0])
-        allowed, wait = [], []
-        for now in seconds:
-            if now - start >= self._window:
-                used, start = 0, now
-            ok = used < self._max
-            used += int(ok)
-            allowed.append(ok)
-            wait.append(0 if ok else max(0, self._window - (now - start)))
-        self._state.update((used, start))
+        seconds = (new["us"] // MICROS).to_numpy()
+        used, start = self._state.get() if self._state.exists() else (0, int(seconds[0]))
+        allowed, wait, used, start = anchored_window(seconds, int(used), int(start), self._max, self._window)
+        self._keep((used, start), start + self._window)
         yield new.assign(allowed=allowed, retry_after_s=wait)
 
-    def close(self) -> None:
-        pass
 
+def last_write_outcomes(
+    kind: np.ndarray, seconds: np.ndarray, at: np.ndarray, ttl: int, keep: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the last write, outcome) of rows in order; outcomes of writes are None.
 
-class RiskCache(StatefulProcessor):
-    """Risk delta of a key with a time limit; a late read removes the entry."""
+    ``kind`` is 0 for a write, whose second is in ``at``. A read within ``ttl`` seconds of
+    the last write is a hit; the first one after that is expired and removes the entry, if
+    it comes within ``keep`` seconds; all others miss.
+    """
+    index = np.arange(len(kind))
+    last = np.maximum.accumulate(np.where(kind == 0, index, -1))
+    age = np.where(last >= 0, seconds - at[np.maximum(last, 0)], np.iinfo(np.int64).max)
+    read = kind == 1
+    stale = read & (last >= 0) & (age > ttl)
+    _, first = np.unique(last[stale], return_index=True)
+    removes = np.zeros(len(kind), bool)
+    removes[np.flatnonzero(stale)[first]] = True
+    outcome = np.where(removes & (age <= keep), "expired", np.where(read & (age <= ttl), "hit", "miss")).astype(object)
+    outcome[~read] = None
+    return last, outcome
+
+
+class RiskCache(_Expiring):
+    """Risk delta of a key with a time limit; a late read removes the entry.
+
+    An entry that nobody reads is dropped ``ttl_s`` seconds after it has expired; reads
+    later than that miss.
+    """
 
     fields = "graph_delta double, graph_reason string, outcome string"
+    entry = "delta double, reason string, at_s bigint"
 
-    def __init__(self, ttl_s: int) -> None:
-        self._ttl = ttl_s
-
-    def init(self, handle) -> None:
-        self._entry = handle.getValueState("entry", "delta double, reason string, at_s bigint")
+    def __init__(self, ttl_s: int, timed: bool = False) -> None:
+        super().__init__(timed)
+        self._ttl, self._most = ttl_s, 2 * ttl_s
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [r for r in rows if len(r)]
-        if not parts:
+        new = self._rows(rows, ["us", "kind", "seq"])
+        if new.empty:
             return
-        new = pd.concat(parts, ignore_index=True).sort_values(
-            ["us", "kind", "seq"], kind="stable", ignore_index=True
+        kept = self._state.get() if self._state.exists() else None
+        seconds = (new["us"] // MICROS).to_numpy()
+        kind, delta, reason = (new[c].to_numpy() for c in ("kind", "risk_delta", "reason"))
+        at = seconds
+        if kept is not None:  # the stored entry goes first, as a write of its time
+            kind, delta = np.concatenate([[0], kind]), np.concatenate([[kept[0]], delta])
+            reason = np.concatenate([np.array([kept[1]], object), reason])
+            seconds, at = np.concatenate([[kept[2]], seconds]), np.concatenate([[kept[2]], at])
+        last, outcome = last_write_outcomes(kind, seconds, at, self._ttl, self._most)
+        hit = outcome == "hit"
+        source = np.maximum(last, 0)
+        answers = pd.DataFrame(
+            {
+                "graph_delta": np.where(hit, delta[source].astype(float), 0.0),
+                "graph_reason": np.where(hit, reason[source], "cold"),
+                "outcome": outcome,
+            }
         )
-        entry = self._entry.get() if self._entry.exists() else None
-        out = []
-        for us, kind, delta, reason in zip(new["us"], new["kind"], new["risk_delta"], new["reason"]):
-            now = int(us // MICROS)
-            if kind == 0:
-                entry = (float(delta), reason, now)
-                out.append((None, None, None))
-            elif entry is None:
-                out.append((0.0, "cold", "miss"))
-            elif now - entry[2] > self._ttl:
-                entry = None
-                out.append((0.0, "cold", "expired"))
-            else:
-                out.append((entry[0], entry[1], "hit"))
-        if entry is None:
-            self._entry.clear()
+        newest = int(last[-1])
+        gone = newest < 0 or bool(((last == newest) & (kind == 1) & ~hit).any())
+        if gone:
+            self._keep(None, 0)
         else:
-            self._entry.update(entry)
-        answers = pd.DataFrame(out, columns=["graph_delta", "graph_reason", "outcome"])
+            when = int(at[newest])
+            self._keep((float(delta[newest]), reason[newest], when), when + self._most + 1)
+        answers = answers.iloc[len(answers) - len(new) :].reset_index(drop=True)
         yield pd.concat([new, answers], axis=1)[(new["kind"] == 1).to_numpy()]
-
-    def close(self) -> None:
-        pass
