@@ -15,14 +15,21 @@ def temporal_cut(
 
     ``seq`` is None where the time alone decides.
     """
-    n = df.count()
-    cut = int(n * fraction)
-    if cut >= n:
+    found: dict[str, int] = {}
+
+    def rank(n: int) -> list[int]:
+        found["cut"] = int(n * fraction)
+        return [found["cut"]] if found["cut"] < n else []
+
+    # a row without a time would be in no order: it counts as the earliest there is
+    timed = df.select(F.coalesce(F.col(us), F.lit(-(1 << 62))).alias(us), seq)
+    stats, cut = order_statistics(timed, us, rank, near=[fraction]), found.get("cut")
+    if not stats:
         return None
-    at, below = order_statistics(df, us, [cut])[cut]
+    at, below = stats[cut]
     if below == cut:  # every row of this time is late
         return at, None
-    tied = df.where(F.col(us) == F.lit(at))
+    tied = timed.where(F.col(us) == F.lit(at))
     return at, order_statistics(tied, seq, [cut - below])[cut - below][0]
 
 
