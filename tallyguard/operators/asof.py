@@ -77,6 +77,57 @@ def last_update(
     )
 
 
+def last_updates(
+    rows: DataFrame, updates: dict[str, DataFrame], keys: list[str], us: str = "us", order: str = "seq"
+) -> DataFrame:
+    """Add one struct per entry of ``updates``: its newest row with time <= the row's, or null.
+
+    All kinds of updates and the rows are one event table per key, answered in event
+    order in one pass: one shuffle and one sort, however many kinds there are.
+    """
+    kinds = {
+        name: df.select(F.struct(*[c for c in df.columns if c not in keys]).alias("u")).schema["u"].dataType
+        for name, df in updates.items()
+    }
+    together = None
+    for name, df in updates.items():
+        fields = [
+            (F.struct(*[c for c in df.columns if c not in keys]) if other == name else F.lit(None).cast(kind)).alias(other)
+            for other, kind in kinds.items()
+        ]
+        part = df.select(*keys, F.col(us).alias("_at"), F.col(order).cast("bigint").alias("_nth"), *fields)
+        together = part if together is None else together.unionByName(part)
+    events = _events(rows.withColumn("_at", F.col(us)), together, keys, "_at", "_nth")
+    sparse, dense = split_dense(events, keys, "_us")
+    position, names = ["_us", "_kind", "_ord"], list(updates)
+
+    def newest(partition: list[str]):
+        spec = Window.partitionBy(*partition).orderBy(*position).rowsBetween(Window.unboundedPreceding, 0)
+        return [F.last(f"_update.{n}", ignorenulls=True).over(spec).alias(f"_of_{n}") for n in names]
+
+    columns = [F.col(f"_row.{c}") for c in rows.columns]
+    found = sparse.select("*", *newest(keys)).where("_kind = 1")
+    out = found.select(*columns, *[F.col(f"_of_{n}").alias(n) for n in names])
+    if dense is None:
+        return out
+    part = keys + ["_chunk"]
+    cut = dense.withColumn("_chunk", chunk_id("_us"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    tops = [
+        F.max(F.when(F.col(f"_update.{n}").isNotNull(), F.struct("_us", "_ord", F.col(f"_update.{n}").alias("u")))).alias(f"_top_{n}")
+        for n in names
+    ]
+    carried = cut.groupBy(*part).agg(*tops).select(
+        *part, *[F.last(f"_top_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in names]
+    )
+    inside = cut.select("*", *newest(part)).where("_kind = 1")
+    return out.unionByName(
+        match_on(inside, carried, part, "inner").select(
+            *columns, *[F.coalesce(f"_of_{n}", f"_carry_{n}.u").alias(n) for n in names]
+        )
+    )
+
+
 def last_update_within(
     rows: DataFrame,
     updates: DataFrame,
