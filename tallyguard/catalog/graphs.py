@@ -18,9 +18,13 @@ from tallyguard.operators.graph import (
     simple_cycles,
     top_nodes,
 )
+from tallyguard.functions.scoring import fuse_gateway
 from tallyguard.operators.profile import union_all
+from tallyguard.operators.selection import order_statistics
+from tallyguard.plans.feedback import publish_window, read_log, with_feedback
 from tallyguard.plans.graph_risk import window_risk
-from tallyguard.session import settle
+from tallyguard.session import scratch_path, settle
+from tallyguard.sources.sinks import publish_deltas
 
 WINDOW = WINDOW_EDGES
 
@@ -196,3 +200,36 @@ def u05(spark, sf):
 def j06(spark, sf):
     cycles = simple_cycles(_window(spark, sf))
     return cycles.groupBy(F.size("path").alias("n")).agg(F.count(F.lit(1)).alias("cycles"))
+
+
+_HALF = "(SELECT us // 1000000 + 1 FROM edges ORDER BY us LIMIT 1 OFFSET (SELECT count(*) // 2 FROM edges))"
+_KEEP = 60 * 86_400
+
+
+@query(
+    "s14_graph_feedback",
+    f"""SELECT seq, round(coalesce(delta, 0.0), 4) AS graph_delta, coalesce(reason, 'cold') AS graph_reason,
+      round(greatest(0.0, least(1.0, 0.6 * least(1.0, amount / 128.0) + 0.1 * coalesce(delta, 0.0))), 6) AS risk_score
+    FROM edges e ASOF LEFT JOIN log ON e.src = log.node AND e.us >= log.at_us""",
+    EDGES
+    + """, win AS (SELECT * FROM (SELECT * FROM edges WHERE us < (SELECT us FROM edges ORDER BY us LIMIT 1 OFFSET
+      (SELECT count(*) // 2 FROM edges))) ORDER BY us DESC, seq DESC LIMIT """
+    + f"{WINDOW})"
+    + _DEG.format(e="win")
+    + _cycles()
+    + f""", log AS (SELECT node, {_HALF} * 1000000 AS at_us, cast(printf('%.4f', least(sum(delta), 1.0)) AS DOUBLE) AS delta,
+      string_agg(DISTINCT evidence, '+' ORDER BY evidence) AS reason FROM ({_UNION}) GROUP BY node
+      UNION ALL SELECT DISTINCT src, ({_HALF} - 864000) * 1000000, 0.05::DOUBLE, 'earlier' FROM edges)""",
+)
+def s14_feedback(spark, sf):
+    """Edges scored with the node risk known at their time: an earlier publication, then the window's."""
+    rows = edges(spark, sf)
+    log = scratch_path(spark, "change-log")
+    half = order_statistics(rows, "us", lambda n: [n // 2] if n else [], near=[0.5])
+    at = next(iter(half.values()))[0]
+    at_s = publish_window(rows, at, log, WINDOW)
+    earlier = rows.select(F.col("src").alias("vpa_hash"), F.lit(0.05).alias("risk_delta"), F.lit("earlier").alias("reason")).distinct()
+    publish_deltas(earlier, log, at_s - 864_000)
+    scored = with_feedback(rows, read_log(spark, log), "src", _KEEP)
+    risk = fuse_gateway(F.least(F.lit(1.0), F.col("amount") / 128.0), F.lit(0.0), "graph_delta")
+    return scored.select("seq", F.round("graph_delta", 4).alias("graph_delta"), "graph_reason", r6(risk).alias("risk_score"))
