@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from tallyguard.operators.skew import match_on
 from tallyguard.schema import CATEGORICALS, CORRIDOR_RATE, OPTIONALS
+from tallyguard.session import settle
 
 # Largest lookup side that may be broadcast, in rows.
 BROADCAST_ROWS = 50_000
-_PREFIX = 4
+RANGE_ROWS = 200_000  # categories that one task ranks
 
 
 def small_side(df: DataFrame) -> DataFrame:
@@ -43,8 +44,8 @@ def ordinal_fit(
     """(column, category, code): position of each category in sorted order.
 
     Up to ``local_rows`` distinct categories are numbered as one fetched list. More
-    are numbered per (column, leading characters) with the sizes of earlier prefixes
-    added, so a column with very many categories is not ranked in one task.
+    are ranked within sampled ranges with the sizes of earlier ranges added, so neither a
+    column with very many categories nor names that start alike meet in one task.
     """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), as_text(c).alias("category")) for c in columns])
@@ -57,21 +58,16 @@ def ordinal_fit(
             [(c, name, i) for c in columns for i, name in enumerate(names[c])],
             "column string, category string, code bigint",
         )
-    distinct = distinct.withColumn("_prefix", F.substring("category", 1, _PREFIX))
-    starts = Window.partitionBy("column").orderBy("_prefix").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = (
-        distinct.groupBy("column", "_prefix")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("column", "_prefix", F.coalesce(F.sum("n").over(starts), F.lit(0)).alias("_start"))
-    )
-    inside = Window.partitionBy("column", "_prefix").orderBy("category")
+    # cut into ranges of about equally many names; a range's start is the sum of those before
+    ranges = max(1, -(-distinct.count() // RANGE_ROWS))
+    cut = distinct.repartitionByRange(ranges, "column", "category") if ranges > 1 else distinct.coalesce(1)
+    cut = settle(cut.withColumn("_range", F.spark_partition_id()), "category-ranges")
+    earlier = Window.partitionBy("column").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("column", "_range").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("column", "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("column", "_range").orderBy("category")
     return match_on(
-        distinct.withColumn("_at", F.row_number().over(inside)),
-        offsets,
-        ["column", "_prefix"],
-        "inner",
+        cut.withColumn("_at", F.row_number().over(inside)), starts, ["column", "_range"], "inner"
     ).select("column", "category", (F.col("_at") - 1 + F.col("_start")).cast("bigint").alias("code"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyguard.operators.encode import small_side
+from tallyguard.operators.asof import last_update
+from tallyguard.operators.encode import BROADCAST_ROWS
 from tallyguard.operators.skew import match_on
-from tallyguard.schema import DAY, TIERS
+from tallyguard.schema import TIERS
 
 
 def resolve_policy(manifest: DataFrame, override: DataFrame, key: str) -> DataFrame:
@@ -34,33 +37,36 @@ def resolve_policy(manifest: DataFrame, override: DataFrame, key: str) -> DataFr
     )
 
 
-def policy_at(rows: DataFrame, versions: DataFrame, us: str = "us") -> DataFrame:
+def policy_at(rows: DataFrame, versions: DataFrame, us: str = "us", local_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Add the policy columns in force at each row's time (null before the first).
 
-    ``versions`` has ``us`` and the policy columns. Each version is spread over
-    the days it covers, so the lookup is an equi-join on the day. Of versions of one
-    time the last in the order of the policy columns holds.
+    ``versions`` has ``us`` and the policy columns. Of versions of one time the last in
+    the order of the policy columns holds. Up to ``local_rows`` versions are sorted as one
+    fetched list of change points, which every row is looked up in by binary search; more
+    are merged with the rows in time order, in chunks of bounded size.
     """
     payload = [c for c in versions.columns if c != us]
-    top = rows.agg(F.max(us)).scalar()
-    # Versions are reloads of one document: few rows, ranked together.
-    spans = versions.select(
-        *payload,
-        F.col(us).alias("_from"),
-        F.lead(us).over(Window.orderBy(us, *payload)).alias("_next"),
-    ).withColumn("_to", F.coalesce(F.col("_next"), F.greatest(top, F.col("_from")) + 1))
-    days = spans.where("_to > _from").withColumn(
-        "_day",
-        F.explode(F.sequence(F.expr(f"_from div {DAY}L"), F.expr(f"(_to - 1) div {DAY}L"))),
-    )
-    on = (
-        (F.expr(f"{us} div {DAY}L") == F.col("_day"))
-        & (F.col(us) >= F.col("_from"))
-        & (F.col(us) < F.col("_to"))
-    )
-    return rows.join(small_side(days.select("_day", "_from", "_to", *payload)), on, "left").select(
-        *rows.columns, *payload
-    )
+    rank = F.row_number().over(Window.partitionBy(us).orderBy(*[F.col(c).desc() for c in payload]))
+    last = versions.where(F.col(us).isNotNull()).select(F.col(us), *payload, rank.alias("_nth")).where("_nth = 1")
+    fetched = last.limit(local_rows + 1).collect()
+    if len(fetched) > local_rows:
+        updates = last.withColumn("_nth", F.lit(0)).withColumn("_all", F.lit(0))
+        found = last_update(rows.withColumn("_all", F.lit(0)), updates, ["_all"], us, "_nth")
+        return found.select(*rows.columns, *[F.col(f"update.{c}").alias(c) for c in payload])
+    fetched.sort(key=lambda r: r[us])
+    shared = rows.sparkSession.sparkContext.broadcast(np.array([r[us] for r in fetched], np.int64))
+
+    @F.pandas_udf("int")
+    def place(times: pd.Series) -> pd.Series:
+        known = times.to_numpy(np.float64, na_value=np.nan)
+        exact = times.fillna(0).to_numpy(np.int64)
+        at = np.searchsorted(shared.value, exact, side="right") - 1
+        return pd.Series(np.where(np.isnan(known), -1, at).astype(np.int32))
+
+    kinds = ", ".join(f"`{c}` {versions.schema[c].dataType.simpleString()}" for c in payload)
+    table = rows.sparkSession.createDataFrame([(i, *[r[c] for c in payload]) for i, r in enumerate(fetched)], f"_place int, {kinds}")
+    placed = rows.withColumn("_place", place(F.col(us)))
+    return placed.join(F.broadcast(table), "_place", "left").select(*rows.columns, *payload)
 
 
 def tier_profiles(spark) -> DataFrame:

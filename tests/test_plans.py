@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyguard.operators.policy import policy_at
 from tallyguard.operators.selection import linear_quantiles, order_statistics
 from tallyguard.plans.feedback import compact, publish_window, read_log, with_feedback
 from tallyguard.plans.online import decide_requests
@@ -58,6 +59,27 @@ def test_online_decision_edge_tier(spark):
     assert {round(r["risk_score"], 6) for r in rows if r["allowed"]} == {0.3}
 
 
+@pytest.mark.parametrize("local_rows, budget", [(1_000, "1000000"), (0, "1000000"), (0, "20")])
+def test_policy_lookup(spark, local_rows, budget):
+    """Sorted change points and the chunked merge agree with a plain search; ties take the last policy."""
+    drawn = random.Random(5)
+    versions = [(drawn.randrange(0, 900, 3), drawn.randrange(4) / 10) for _ in range(200)] + [(30, None), (None, 0.9)]
+    rows = [(i, drawn.randrange(-20, 1_000)) for i in range(300)] + [(999, None)]
+    spark.conf.set("tallyguard.rowsPerChunk", budget)
+    try:
+        out = policy_at(
+            spark.createDataFrame(rows, "seq bigint, us bigint"), spark.createDataFrame(versions, "us bigint, allow double"), local_rows=local_rows
+        )
+        got = {r["seq"]: r["allow"] for r in out.collect()}
+    finally:
+        spark.conf.unset("tallyguard.rowsPerChunk")
+    known = sorted({us: max((a for u, a in versions if u == us and a is not None), default=None) for us, _ in versions if us is not None}.items())
+    assert len(got) == len(rows)
+    for seq, us in rows:
+        before = [a for u, a in known if us is not None and u <= us]
+        assert got[seq] == (before[-1] if before else None)
+
+
 def test_feedback_reads_what_was_known(spark):
     """Rows before the publication are cold, rows after it carry it; compaction changes no later read."""
     edges = [(f"s{i}", "hub", 1.0, at(10 + i), i) for i in range(8)]
