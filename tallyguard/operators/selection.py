@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 LISTED = 100_000  # distinct values inside brackets that may be listed
 _ACCURACY = 10_000  # the sketch's ranks are off by a share of 1 / _ACCURACY at most
 _CELLS = 1024
+_BESIDE = 5  # rows by which a rank may miss its share
 
 
 def order_statistics(
@@ -57,8 +58,10 @@ def order_statistics(
         low, high = max(0.0, p - margin), min(1.0, p + margin)
         slack = 2 / max(n, 1)  # a rank may lie a row beside its share
         spans.append((first["lo"] if low <= slack else at[low], first["hi"] if high >= 1 - slack else at[high]))
-    spans = _disjoint(spans)
-    if n * len(spans) * 4 * margin > listed:
+    spans, inside = _disjoint(spans), n * len(spans) * 4 * margin
+    if n * margin < _BESIDE:  # a bracket would be narrower than the rows beside a share
+        spans, inside = [(first["lo"], first["hi"])], n
+    if inside > listed:
         return _by_histograms(values, asked, _with_below(values, spans, asked))
     return _by_listing(values, asked, spans)
 

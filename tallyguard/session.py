@@ -50,6 +50,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow batches have ``rows`` rows at most, for tables of long texts.
+
+    Spark's default of 10,000 rows is made for narrow ones; with texts a batch of it takes
+    tens of megabytes in the executor and again in each Python worker. A smaller setting
+    of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 _open_scopes: list[list[str]] = []
 
 

@@ -102,7 +102,7 @@ def test_order_statistics(spark, listed):
     """Exact with heavy ties, few rows and skewed values, listed and by histograms."""
     drawn = random.Random(1)
     makes = [lambda: drawn.randrange(10**15), lambda: drawn.randrange(5), lambda: int(drawn.paretovariate(0.3)) % 10**12, lambda: 7]
-    for n in (1, 2, 2_000):
+    for n in (1, 2, 501, 30_000):
         for make in makes:
             xs = sorted(make() for _ in range(n))
             df = spark.createDataFrame([(x,) for x in [*xs, None]], "x bigint")
@@ -111,4 +111,4 @@ def test_order_statistics(spark, listed):
             assert order_statistics(df, "x", ranks, listed=listed) == want
     assert linear_quantiles(df.limit(0), "x", [0.5]) == {}
     with pytest.raises(ValueError):
-        order_statistics(df, "x", [5_000])
+        order_statistics(df, "x", [50_000])
