@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyguard.catalog.base import EDGES, PAY, edges, payments, query, r6
+from tallyguard.catalog.base import EDGES, PAY, edges, payments, query, r6, r9
 from tallyguard.operators.graph import (
     WINDOW_EDGES,
     cycle_events,
@@ -209,7 +209,7 @@ _KEEP = 60 * 86_400
 @query(
     "s14_graph_feedback",
     f"""SELECT seq, round(coalesce(delta, 0.0), 4) AS graph_delta, coalesce(reason, 'cold') AS graph_reason,
-      round(greatest(0.0, least(1.0, 0.6 * least(1.0, amount / 128.0) + 0.1 * coalesce(delta, 0.0))), 6) AS risk_score
+      round(greatest(0.0, least(1.0, 0.6 * least(1.0, amount / 128.0) + 0.1 * coalesce(delta, 0.0))), 9) AS risk_score
     FROM edges e ASOF LEFT JOIN log ON e.src = log.node AND e.us >= log.at_us""",
     EDGES
     + """, win AS (SELECT * FROM (SELECT * FROM edges WHERE us < (SELECT us FROM edges ORDER BY us LIMIT 1 OFFSET
@@ -232,4 +232,4 @@ def s14_feedback(spark, sf):
     publish_deltas(earlier, log, at_s - 864_000)
     scored = with_feedback(rows, read_log(spark, log), "src", _KEEP)
     risk = fuse_gateway(F.least(F.lit(1.0), F.col("amount") / 128.0), F.lit(0.0), "graph_delta")
-    return scored.select("seq", F.round("graph_delta", 4).alias("graph_delta"), "graph_reason", r6(risk).alias("risk_score"))
+    return scored.select("seq", F.round("graph_delta", 4).alias("graph_delta"), "graph_reason", r9(risk).alias("risk_score"))
