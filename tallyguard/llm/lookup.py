@@ -4,6 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 
+_OWNED: dict[str, list[dict]] = {}
+
+
+def claim(owner: str, *tables: dict) -> None:
+    """Keeps ``tables`` for ``owner`` and empties those of other owners.
+
+    Python workers outlive the jobs of one operator; without this a worker would hold the
+    tables of every operator it has served.
+    """
+    for other, held in _OWNED.items():
+        if other != owner:
+            for table in held:
+                table.clear()
+    _OWNED[owner] = list(tables)
+
 
 class Slots(dict):
     """Numbers words in order of appearance; ``taken`` gives those that are new since last time."""

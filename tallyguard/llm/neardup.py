@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyguard.llm.components import components
+from tallyguard.llm.lookup import claim
 from tallyguard.llm.order import ROW, numbered
 from tallyguard.session import settle
 
@@ -41,6 +42,7 @@ _BLOCK = 2_048  # members of a table compared in memory at a time
 _SKETCH = 512  # minimum hashes, one byte each, that such comparisons use
 _ALPHA = 4.5  # standard deviations a linked pair may fall short of the threshold there
 _CACHE_WORDS = 150_000
+_SLICE = 256  # rows that a task turns into sets and passes on at a time
 _ENOUGH = 0.30  # a pair goes to the exact check unless its estimate is this far below
 _U = np.uint64
 _M1, _M2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -53,6 +55,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> _U(31))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``_SLICE`` rows at most: what a task makes of them is sent off in small parts."""
+    claim("neardup", _WORDS)
+    for batch in batches:
+        for lo in range(0, max(batch.num_rows, 1), _SLICE):
+            yield batch.slice(lo, _SLICE)
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE_WORDS:
@@ -138,7 +148,7 @@ def _signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
     """doc_id, n (set size), h1, h2 (set identity), halves (2 m half keys), low (hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py(), k)
@@ -206,7 +216,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("rep", "part", "id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = pa.array([shingle_set(t.as_py(), k).tobytes() for t in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("part"), batch.column("id"), found], names=["rep", "part", "id", "set"])
 
@@ -280,7 +290,7 @@ def _sketches(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(id, sketch): the low bytes of ``_SKETCH`` minimum hashes, for the documents ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [min_hashes(shingle_set(t.as_py(), k), _SKETCH).astype(np.uint8).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], names=["id", "sketch"])
 
@@ -338,7 +348,7 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in (0, 1)], names=["id", "rep"])
 
-        for batch in batches:
+        for batch in _sliced(batches):
             columns = [batch.column(c).to_pylist() for c in ("key", "i", "j", "id", "id_label", "n", "block", "table", "halves", "sketch")]
             for key, i, j, *row in zip(*columns):
                 if (key, i, j) != group:

@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyguard.llm.lookup import claim
+
 BUCKETS = 2048  # hashed features
 TRAIN_ROWS = 6_000  # distinct texts the scorer is fitted on, about this many at most
 KEEP = 0.5
 BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = ("symbols", "separators", "capitals", "repeats", "clean_words", "short_words")
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 400_000
 _SYMBOLS = "#$%&*~^=<>\\"
 _FEW = 6  # words below which the general labellers abstain
 _CLEAN = re.compile(r"[(\"'«]?[^\W\d_]?[^\W\d_A-ZÀ-ÖØ-Þ]*[.,;:?!]?[)\"'»]?")
@@ -168,6 +170,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 3
 
 
 def _vote_code(texts: pd.Series) -> pd.Series:
+    claim("quality", _KINDS, _SHAPES)
     out = []
     for t in texts:
         words = t.split() if t else []
@@ -194,6 +197,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> dict:
     posterior = model["posterior"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality", _KINDS, _SHAPES)
         for batch in batches:
             found = []
             for t in batch.column("text").to_pylist():
@@ -226,6 +230,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     weights, bias, posterior = model["weights"], model["bias"], model["posterior"]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("quality", _KINDS, _SHAPES)
         for texts in batches:
             out = []
             for t in texts:
