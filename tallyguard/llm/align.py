@@ -35,8 +35,8 @@ from tallyguard.session import settle
 
 CHUNK_BYTES = 32_768  # byte range of one fragment
 FAN_IN = 16  # fragments composed by one step of the tree
-BATCH_CHARS = 3_000_000  # characters of texts handled together
-CACHE_SEGMENTS = 300_000  # segments a worker keeps before it starts afresh
+BATCH_CHARS = 2_000_000  # characters of texts handled together
+CACHE_SEGMENTS = 200_000  # segments a worker keeps before it starts afresh
 FREQUENT_PAIRS = 200_000  # id pairs of the broadcast table
 _JOINED = 2_000  # segments encoded in one call
 _WIDE = 4_096  # groups with more links are counted by distinct ids

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyguard.llm import align, chat, decontam, lzfinger, mixing, neardup, packing, quality, sharding, tokens, toxicity, urllists, variants
-from tallyguard.session import settle
+from tallyguard.session import settle, small_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,7 @@ def _query(name: str, sql: str | None = None):
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
