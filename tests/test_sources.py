@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from tallyguard.operators.encode import corridor_fit, corridor_flag, ordinal_encode, ordinal_fit
 from tallyguard.plans.compile import assemble
 from tallyguard.session import scratch_path
@@ -105,3 +106,16 @@ def test_event_and_delta_sinks(spark):
     publish_deltas(spark.createDataFrame([("h", 1.7, "x")], "vpa_hash string, risk_delta double, reason string"), out, 5)
     r = spark.read.parquet(out).first()
     assert (r["risk_delta"], r["_timestamp"]) == (1.0, 5)
+
+
+def test_pruned_scan_takes_the_newest_events(spark, tmp_path):
+    """The window is the newest 5,000 edges of all events, whatever other tables there are."""
+    events = spark.range(5_200).selectExpr(
+        "id AS event_id", "timestamp_seconds(1700000000 + id * 7919 % 5200) AS ts", "id % 30 AS user_id",
+        "'view' AS event_type", "id * 0.5D AS value", "concat('{\"k\": ', id % 9, '}') AS props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    rows = queries()["s05_pruned_parquet_scan"](spark, str(tmp_path)).collect()
+    want = sorted(range(5_200), key=lambda i: i * 7919 % 5200)[200:]
+    assert {r["seq"]: (r["src"], r["dst"], r["amount"]) for r in rows} == {i: (f"N{i % 30}", f"N{i % 9}", i * 0.5) for i in want}
+    assert len(rows) == 5_000
