@@ -202,3 +202,39 @@ def test_scores_go_on_after_a_restart(spark):
     want = {r["seq"]: (r["risk_score"], r["verdict"]) for r in score_table(rows, scorer).collect()}
     assert len(got) == out.count() == 200
     assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-6) and got[k][1] == want[k][1] for k in want)
+
+
+def test_a_group_of_keys_is_worked_on_at_once():
+    """Rows of many keys in one history, written to the state after every part and read back, equal brute force."""
+    drawn, stored, sums, arrived = random.Random(5), {}, None, []
+    times = sorted(drawn.choice([drawn.randrange(0, 40 * HOUR), drawn.randrange(0, 40 * HOUR, 30 * MINUTE)]) for _ in range(600))
+    rows = [(us + drawn.choice([0, 0, -5 * MINUTE]), drawn.randrange(500), drawn.choice([5.0, 20.1, 20.1, float("nan")]),
+             drawn.choice(["a", "b", None]), drawn.randrange(7)) for us in times]
+    for at in range(0, len(rows), 50):
+        part = sorted(rows[at : at + 50], key=lambda r: (r[0], r[1]))
+        past = PaneHistory(stored.__getitem__, sums)
+        panes = np.array([r[0] // PANE for r in part])
+        past.open(panes, [10 * MINUTE, HOUR, DAY], HOUR)
+        place = past.add(panes, np.array([r[:3] for r in part], _ROW), [r[3] for r in part], np.array([r[4] for r in part]))
+        arrived += part
+        got = {w: past.counts(panes, place, w) for w in (10 * MINUTE, HOUR, DAY)}
+        items = {w: past.distinct(panes, place, w) for w in (10 * MINUTE, HOUR)}
+        n, mean, m2 = past.moments(panes, place, DAY)[:3]
+        for i, r in enumerate(part):
+            for w in got:
+                before = [b for b in arrived if b[4] == r[4] and r[0] - w <= b[0] and (b[:2] < r[:2])]
+                twins = [b for b in arrived if b[4] == r[4] and b[:2] == r[:2]]
+                if len(twins) > 1:
+                    continue  # equal rows are counted in the order of their arrival
+                assert got[w][i] == len(before)
+                if w in items:
+                    assert items[w][i] == len({b[3] for b in before})
+                else:
+                    values = [b[2] for b in before if not np.isnan(b[2])]
+                    assert n[i] == len(values)
+                    if values:
+                        assert mean[i] == pytest.approx(np.mean(values)) and m2[i] == pytest.approx(np.var(values) * n[i], abs=1e-9)
+        for p, kept, things, keys in past.written(-10):
+            stored[p] = (kept, things, keys)
+        sums = past.sums
+    assert 0 < len(stored) < 300 and int(sums["n"].sum()) == 600
