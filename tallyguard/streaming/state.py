@@ -1,8 +1,7 @@
 """Keyed state processors of single entries: anchored rate windows, time-limited risk deltas.
 
 Each processor sorts the rows of its key in a micro-batch by (us, seq), so the results
-equal the batch operators when micro-batches arrive in time order. Rows are worked on as
-arrays. With an event time, an entry that no row to come can still use is removed when the
+equal the batch operators when micro-batches arrive in time order. With an event time, an entry that no row to come can still use is removed when the
 watermark has passed it; without one it stays until the key is seen again.
 """
 
@@ -11,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
 from tallyguard.schema import MICROS
@@ -24,42 +23,66 @@ def counts_since(times: np.ndarray, start: int, window: int) -> np.ndarray:
 
 
 class _Expiring(StatefulProcessor):
-    """One entry per key with at most one event-time timer."""
+    """One entry per key with an event-time timer at its end or before.
+
+    Rows are taken and given as plain rows: most keys have few of them in a micro-batch, and a
+    frame per key costs more than its rows. A newer entry leaves the timer; it is set anew when
+    it fires.
+    """
 
     entry = ""
+    order: list[str] = []
+    given: list[str] = []  # columns of the rows that come out
 
-    def __init__(self, timed: bool) -> None:
+    def __init__(self, columns: list[str], timed: bool) -> None:
+        """``columns`` are those of the rows that come in."""
         self._timed = timed
+        self._at = {c: i for i, c in enumerate(columns)}
 
     def init(self, handle) -> None:
         self._handle = handle
         self._state = handle.getValueState("entry", self.entry)
-        self._timer = handle.getValueState("timer", "at_ms bigint")
+        self._row = Row(*self.given)
+
+    def until(self, entry: tuple) -> int:
+        """The last second at which the entry can still be told from none."""
+        raise NotImplementedError
 
-    def _rows(self, rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-        parts = [r for r in rows if len(r)]
-        if not parts:
-            return pd.DataFrame()
-        return pd.concat(parts, ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+    def answer(self, rows: list[tuple], entry: tuple | None) -> tuple[list[tuple], tuple | None]:
+        """(values of the rows that come out, entry after them) for rows in order."""
+        raise NotImplementedError
 
-    def _keep(self, entry: tuple | None, until_s: int) -> None:
-        """Stores the entry, to be removed when the watermark has passed ``until_s``."""
+    def _sorted(self, rows: Iterator[Row]) -> list[tuple]:
+        places = [self._at[c] for c in self.order]
+        return sorted(map(tuple, rows), key=lambda r: [(r[i] is None, r[i] or 0) for i in places])
+
+    def _keep(self, before: tuple | None, entry: tuple | None) -> None:
+        """Stores the entry, to be removed when the watermark has passed its end."""
+        if entry == before:
+            return
         if entry is None:
             self._state.clear()
-        else:
-            self._state.update(entry)
-        if not self._timed:
             return
-        if self._timer.exists():
-            self._handle.deleteTimer(int(self._timer.get()[0]))
-            self._timer.clear()
+        self._state.update(entry)
+        if self._timed and before is None:
+            self._handle.registerTimer(self.until(entry) * 1000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found = self._state.get()
+        before = None if found is None else tuple(found)
+        answers, entry = self.answer(self._sorted(rows), before)
+        self._keep(before, entry)
+        for values in answers:
+            yield self._row(*values)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        entry = self._state.get()
         if entry is not None:
-            self._timer.update((until_s * 1000,))
-            self._handle.registerTimer(until_s * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._state.clear()
-        self._timer.clear()
+            end = self.until(tuple(entry)) * 1000
+            if end > timerValues.getCurrentWatermarkInMs():
+                self._handle.registerTimer(end)
+            else:
+                self._state.clear()
         return iter([])
 
     def close(self) -> None:
@@ -91,86 +114,61 @@ class RateWindow(_Expiring):
 
     fields = "allowed boolean, retry_after_s bigint"
     entry = "used bigint, start bigint"
+    order = ["us", "seq"]
 
-    def __init__(self, max_requests: int, window_s: int, timed: bool = False) -> None:
-        super().__init__(timed)
+    def __init__(self, columns: list[str], max_requests: int, window_s: int, timed: bool = False) -> None:
+        super().__init__(columns, timed)
+        self.given = [*columns, "allowed", "retry_after_s"]
         self._max, self._window = max_requests, window_s
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = self._rows(rows, ["us", "seq"])
-        if new.empty:
-            return
-        seconds = (new["us"] // MICROS).to_numpy()
-        used, start = self._state.get() if self._state.exists() else (0, int(seconds[0]))
-        allowed, wait, used, start = anchored_window(seconds, int(used), int(start), self._max, self._window)
-        self._keep((used, start), start + self._window)
-        yield new.assign(allowed=allowed, retry_after_s=wait)
-
+    def until(self, entry: tuple) -> int:
+        return entry[1] + self._window
 
-def last_write_outcomes(
-    kind: np.ndarray, seconds: np.ndarray, at: np.ndarray, ttl: int, keep: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the last write, outcome) of rows in order; outcomes of writes are None.
-
-    ``kind`` is 0 for a write, whose second is in ``at``. A read within ``ttl`` seconds of
-    the last write is a hit; the first one after that is expired and removes the entry, if
-    it comes within ``keep`` seconds; all others miss.
-    """
-    index = np.arange(len(kind))
-    last = np.maximum.accumulate(np.where(kind == 0, index, -1))
-    age = np.where(last >= 0, seconds - at[np.maximum(last, 0)], np.iinfo(np.int64).max)
-    read = kind == 1
-    stale = read & (last >= 0) & (age > ttl)
-    _, first = np.unique(last[stale], return_index=True)
-    removes = np.zeros(len(kind), bool)
-    removes[np.flatnonzero(stale)[first]] = True
-    outcome = np.where(removes & (age <= keep), "expired", np.where(read & (age <= ttl), "hit", "miss")).astype(object)
-    outcome[~read] = None
-    return last, outcome
+    def answer(self, rows: list[tuple], entry: tuple | None) -> tuple[list[tuple], tuple | None]:
+        us = self._at["us"]
+        seconds = np.array([r[us] // MICROS for r in rows], np.int64)
+        used, start = entry or (0, int(seconds[0]))
+        allowed, wait, used, start = anchored_window(seconds, used, start, self._max, self._window)
+        return [(*r, a, w) for r, a, w in zip(rows, allowed.tolist(), wait.tolist())], (used, start)
 
 
 class RiskCache(_Expiring):
     """Risk delta of a key with a time limit; a late read removes the entry.
 
-    An entry that nobody reads is dropped ``ttl_s`` seconds after it has expired; reads
-    later than that miss.
+    A read within ``ttl_s`` seconds of the last write is a hit; the first one after that
+    is expired and removes the entry. An entry that nobody reads is dropped ``ttl_s`` seconds
+    after it has expired; reads later than that miss.
     """
 
     fields = "graph_delta double, graph_reason string, outcome string"
     entry = "delta double, reason string, at_s bigint"
+    order = ["us", "kind", "seq"]
 
-    def __init__(self, ttl_s: int, timed: bool = False) -> None:
-        super().__init__(timed)
+    def __init__(self, columns: list[str], kept: list[str], ttl_s: int, timed: bool = False) -> None:
+        super().__init__(columns, timed)
+        self.given = [*kept, "graph_delta", "graph_reason", "outcome"]
+        self._kept = [self._at[c] for c in kept]
         self._ttl, self._most = ttl_s, 2 * ttl_s
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = self._rows(rows, ["us", "kind", "seq"])
-        if new.empty:
-            return
-        kept = self._state.get() if self._state.exists() else None
-        seconds = (new["us"] // MICROS).to_numpy()
-        kind, delta, reason = (new[c].to_numpy() for c in ("kind", "risk_delta", "reason"))
-        at = seconds
-        if kept is not None:  # the stored entry goes first, as a write of its time
-            kind, delta = np.concatenate([[0], kind]), np.concatenate([[kept[0]], delta])
-            reason = np.concatenate([np.array([kept[1]], object), reason])
-            seconds, at = np.concatenate([[kept[2]], seconds]), np.concatenate([[kept[2]], at])
-        last, outcome = last_write_outcomes(kind, seconds, at, self._ttl, self._most)
-        hit = outcome == "hit"
-        source = np.maximum(last, 0)
-        answers = pd.DataFrame(
-            {
-                "graph_delta": np.where(hit, delta[source].astype(float), 0.0),
-                "graph_reason": np.where(hit, reason[source], "cold"),
-                "outcome": outcome,
-            }
-        )
-        newest = int(last[-1])
-        gone = newest < 0 or bool(((last == newest) & (kind == 1) & ~hit).any())
-        if gone:
-            self._keep(None, 0)
-        else:
-            when = int(at[newest])
-            self._keep((float(delta[newest]), reason[newest], when), when + self._most + 1)
-        answers = answers.iloc[len(answers) - len(new) :].reset_index(drop=True)
-        yield pd.concat([new, answers], axis=1)[(new["kind"] == 1).to_numpy()]
+    def until(self, entry: tuple) -> int:
+        return entry[2] + self._most + 1
+
+    def answer(self, rows: list[tuple], entry: tuple | None) -> tuple[list[tuple], tuple | None]:
+        us, kind, delta, reason = (self._at[c] for c in ("us", "kind", "risk_delta", "reason"))
+        answers = []
+        for r in rows:
+            second = r[us] // MICROS
+            if r[kind] == 0:
+                entry = (r[delta], r[reason], second)
+                continue
+            found = (0.0, "cold", "miss")
+            if entry is not None:
+                age = second - entry[2]
+                if age <= self._ttl:
+                    found = (entry[0], entry[1], "hit")
+                else:
+                    entry = None
+                    if age <= self._most:
+                        found = (0.0, "cold", "expired")
+            answers.append((*[r[i] for i in self._kept], *found))
+        return answers, entry

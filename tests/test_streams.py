@@ -26,7 +26,7 @@ from tallyguard.streaming.jobs import (
     write_replay,
 )
 from tallyguard.streaming.panes import _ROW, PANE, PaneHistory, distinct_since
-from tallyguard.streaming.state import anchored_window, counts_since
+from tallyguard.streaming.state import RateWindow, RiskCache, anchored_window, counts_since
 
 DAY_S = 86_400
 START_S = 1_700_000_000  # a stream's first watermark is the epoch, and earlier rows are late
@@ -132,6 +132,89 @@ def test_anchored_window_equals_steps():
         assert got == want and tuple(state) == (used, start)
 
 
+class _Handle:
+    """State of one key in memory, with the trips to it counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.trips = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.trips += 1
+        return self.value
+
+    def update(self, value):
+        self.trips, self.value = self.trips + 1, value
+
+    def clear(self):
+        self.trips, self.value = self.trips + 1, None
+
+    def registerTimer(self, at_ms):
+        self.trips += 1
+        self.timers.add(at_ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def fire(self, processor, now_ms):
+        self.now = now_ms
+        for at in sorted(t for t in self.timers if t <= now_ms):
+            list(processor.handleExpiredTimer(None, self, None))
+            self.timers.discard(at)
+
+
+def test_a_cached_delta_takes_few_trips_to_the_state():
+    """Rows of a key in parts, as plain rows, equal steps over all; a newer write keeps the timer."""
+    columns, ttl = ["k", "us", "seq", "kind", "risk_delta", "reason"], 10
+    drawn = random.Random(6)
+    rows = []
+    for seq in range(300):
+        write = drawn.random() < 0.2
+        rows.append(("a", drawn.randrange(900) * 1_000_000, seq, 0 if write else 1, drawn.random() if write else None, "w" if write else None))
+    rows.sort(key=lambda r: (r[1], r[3], r[2]))
+    want, last = [], None
+    for k, us, seq, kind, delta, reason in rows:
+        if kind == 0:
+            last = (us // 1_000_000, delta, reason)
+        elif last is None or us // 1_000_000 - last[0] > ttl:
+            late = last is not None and us // 1_000_000 - last[0] <= 2 * ttl
+            want.append((k, us, seq, 0.0, "cold", "expired" if late else "miss"))
+            last = None
+        else:
+            want.append((k, us, seq, last[1], last[2], "hit"))
+    processor, handle, got = RiskCache(columns, columns[:3], ttl, True), _Handle(), []
+    processor.init(handle)
+    for at in range(0, len(rows), 10):
+        part, before = rows[at : at + 10], handle.trips
+        got += [tuple(r) for r in processor.handleInputRows(("a",), iter(drawn.sample(part, len(part))), handle)]
+        assert handle.trips - before <= 3  # it took nine
+        assert handle.value is None or handle.timers  # an entry is always removed at last
+        handle.fire(processor, part[-1][1] // 1000)
+    assert got == want and {r[-1] for r in got} == {"hit", "miss", "expired"}
+    handle.fire(processor, 10_000_000)
+    assert handle.value is None and not handle.timers
+
+
+def test_a_rate_window_takes_few_trips_to_the_state():
+    processor, handle = RateWindow(["us", "seq"], 2, 60, True), _Handle()
+    processor.init(handle)
+    got = []
+    for part in ([0, 20, 10], [30], [61, 62]):
+        before = handle.trips
+        got += list(processor.handleInputRows(("a",), iter([(s * 1_000_000, s) for s in part]), handle))
+        assert handle.trips - before <= 3
+    assert [(r["seq"], r["allowed"], r["retry_after_s"]) for r in got] == [
+        (0, True, 0), (10, True, 0), (20, False, 40), (30, False, 30), (61, True, 0), (62, True, 0)
+    ]
+    assert handle.timers == {60_000}
+    handle.fire(processor, 70_000)
+    assert handle.timers == {121_000} and handle.value == (2, 61)
+    handle.fire(processor, 121_000)
+    assert handle.value is None and not handle.timers
+
+
 STREAM = "seq bigint, us bigint, sender_id string, receiver_id string, amount double"
 
 
