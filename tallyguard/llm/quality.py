@@ -27,29 +27,41 @@ TRAIN_ROWS = 6_000  # distinct texts the scorer is fitted on, about this many at
 KEEP = 0.5
 BAD, GOOD, NONE = 0, 1, 2
 LABELLERS = ("symbols", "separators", "capitals", "repeats", "clean_words", "short_words")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000  # an executor has several workers, each with a table of its own
 _SYMBOLS = "#$%&*~^=<>\\"
 _FEW = 6  # words below which the general labellers abstain
 _CLEAN = re.compile(r"[(\"'«]?[^\W\d_]?[^\W\d_A-ZÀ-ÖØ-Þ]*[.,;:?!]?[)\"'»]?")
 
 
-class _Clean(dict):
-    """Word to 0 (odd), 1 (a plain word) or 2 (a plain word of up to three small letters)."""
+def _shape(word: str) -> str:
+    s = re.sub(r"[^\W\d_]+", lambda x: "A" if x[0].isupper() and len(x[0]) > 1 else "Aa" if x[0][0].isupper() else "a", word)
+    return re.sub(r"\d+", "0", s)[:12]
+
+
+class _Words(dict):
+    """Word to 4 times the feature number of its shape, plus 0 (odd), 1 (a plain word) or 2
+    (a plain word of up to three small letters); filled as words are met."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= _CACHE_WORDS:
             self.clear()
         plain = len(word) <= 64 and _CLEAN.fullmatch(word) is not None
         kind = 0 if not plain else 2 if len(word.rstrip(".,;:?!")) <= 3 and word[0].islower() else 1
+        code = _CODES[zlib.crc32(_shape(word[:256]).encode()) % BUCKETS * 4 + kind]
         if len(word) <= 64:
-            self[word] = kind
-        return kind
+            self[word] = code
+        return code
+
 
+_CODES = tuple(range(4 * BUCKETS))  # one object per code, whatever the number of words
+_WORDS = _Words()
 
-_KINDS = _Clean()
 
+def _codes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
 
-def _signals(text: str, words: list[str]) -> tuple[float, ...]:
+
+def _signals(text: str, words: list[str], codes: np.ndarray) -> tuple[float, ...]:
     """Per word: symbols, separators, words in capitals, repeats of the word before,
     plain words, and short plain words in small letters (the last two without repeats)."""
     n = len(words)
@@ -57,8 +69,8 @@ def _signals(text: str, words: list[str]) -> tuple[float, ...]:
     bars = text.count("|") + text.count("\t")
     shout = sum(map(str.isupper, words)) - sum(1 for w in words if len(w) < 3 and w.isupper())
     same = sum(map(str.__eq__, words, words[1:]))
-    kinds = list(map(_KINDS.__getitem__, words))
-    odd, short = kinds.count(0), kinds.count(2)
+    kinds = codes & 3
+    odd, short = int(np.count_nonzero(kinds == 0)), int(np.count_nonzero(kinds == 2))
     again = same / max(n - 1, 1)
     return marked / n, bars / n, shout / n, again, (n - odd) / n * (1 - again), short / n * (1 - again)
 
@@ -116,30 +128,9 @@ def fit_labellers(counts: dict[int, int], rounds: int = 200) -> dict:
     return {"prior": float(prior), "posterior": dict(zip(codes.tolist(), q.tolist())), "accuracy": accuracy}
 
 
-def _shape(word: str) -> str:
-    s = re.sub(r"[^\W\d_]+", lambda x: "A" if x[0].isupper() and len(x[0]) > 1 else "Aa" if x[0][0].isupper() else "a", word)
-    return re.sub(r"\d+", "0", s)[:12]
-
-
-class _Features(dict):
-    """Word to feature number of its shape, filled as words are met."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        k = zlib.crc32(_shape(word[:256]).encode()) % BUCKETS
-        if len(word) <= 64:
-            self[word] = k
-        return k
-
-
-_SHAPES = _Features()
-
-
-def features(text: str, words: list[str], signals: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: list[str], codes: np.ndarray, signals: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features: word-shape frequencies, and the bucketised signals."""
-    shapes = np.fromiter(map(_SHAPES.__getitem__, words), np.int64, len(words))
-    count = np.bincount(shapes, minlength=BUCKETS).astype(np.float32)
+    count = np.bincount(codes >> 2, minlength=BUCKETS).astype(np.float32)
     at = np.flatnonzero(count)
     weigh = np.float32(1 / (len(words) + _FEW))  # a short text says little either way
     steps = [f"{name}={min(int(s * 10), 15)}" for name, s in zip(LABELLERS, signals)]
@@ -170,11 +161,11 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 3
 
 
 def _vote_code(texts: pd.Series) -> pd.Series:
-    claim("quality", _KINDS, _SHAPES)
+    claim("quality", _WORDS)
     out = []
     for t in texts:
         words = t.split() if t else []
-        out.append(pattern(votes(_signals(t, words), len(words))) if words else -1)
+        out.append(pattern(votes(_signals(t, words, _codes(words)), len(words))) if words else -1)
     return pd.Series(out, dtype="int64")
 
 
@@ -197,15 +188,16 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 11) -> dict:
     posterior = model["posterior"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("quality", _KINDS, _SHAPES)
+        claim("quality", _WORDS)
         for batch in batches:
             found = []
             for t in batch.column("text").to_pylist():
                 words = t.split() if t else []
                 if not words:
                     continue
-                s = _signals(t, words)
-                at, values = features(t, words, s)
+                codes = _codes(words)
+                s = _signals(t, words, codes)
+                at, values = features(words, codes, s)
                 y = posterior.get(pattern(votes(s, len(words))), 0.5)
                 found.append({"at": at.astype("<i4").tobytes(), "values": values.astype("<f4").tobytes(), "y": y})
             yield pa.RecordBatch.from_pylist(found, pa.schema([("at", pa.binary()), ("values", pa.binary()), ("y", pa.float64())]))
@@ -230,7 +222,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     weights, bias, posterior = model["weights"], model["bias"], model["posterior"]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        claim("quality", _KINDS, _SHAPES)
+        claim("quality", _WORDS)
         for texts in batches:
             out = []
             for t in texts:
@@ -238,8 +230,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 if not words:
                     out.append((None, None, 0.0))
                     continue
-                s = _signals(t, words)
-                at, values = features(t, words, s)
+                codes = _codes(words)
+                s = _signals(t, words, codes)
+                at, values = features(words, codes, s)
                 code = pattern(votes(s, len(words)))
                 z = float(np.dot(weights[at], values)) + bias
                 out.append((code, posterior.get(code), 1 / (1 + float(np.exp(-max(min(z, 50.0), -50.0))))))

@@ -428,6 +428,16 @@ def test_quality_odd_and_empty(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def test_quality_keeps_one_bounded_table_of_words():
+    """A worker holds a word once, with kind and shape, and 150,000 words at most."""
+    words = [f"w{i:x}" for i in range(200_000)] + ["Word", "the", "x" * 65, "#"]
+    codes = np.concatenate([quality._codes(words[lo : lo + 1_000]) for lo in range(0, len(words), 1_000)])
+    assert len(quality._WORDS) <= 150_000 and "x" * 65 not in quality._WORDS
+    assert (codes[-4:] & 3).tolist() == [1, 2, 0, 0]
+    assert len({id(c) for c in quality._WORDS.values()}) == len(set(quality._WORDS.values()))
+    assert codes.tolist() == quality._codes(words).tolist()
+
+
 def test_toxicity_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
